@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import canon, capping, neardup
+from tidemark.llm import canon, capping, language, neardup, neighbours
 from tidemark.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,46 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("id"), F.col("author.id").alias("author_id"), canon.consistent(F.col("text")).alias("text"), canon.consistent(F.col("author.name")).alias("name")).distinct()
 
 
+def _profiles(spark: SparkSession, d: str) -> language.Profiles:
+    return language.fit(table(spark, d, "lang_samples"), table(spark, d, "tweets"), "id", "text", "lang")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with a missing or wrong language label or in several languages, with the languages."""
+    return language.mislabelled(table(spark, d, "tweets"), _profiles(spark, d), "id", "text", "lang")
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Each post's language with a confidence."""
+    got = language.languages(table(spark, d, "tweets"), _profiles(spark, d), "id", "text", "lang")
+    return got.select("id", "label", "words", "lang", F.round("confidence", 6).alias("confidence"), F.array_join("langs", " ").alias("langs")).distinct()
+
+
+def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Each stretch of one language in each post, with a confidence."""
+    once = table(spark, d, "tweets").select("id", "text").where("id IS NOT NULL").dropDuplicates(["id"])
+    return language.language_stretches(once, _profiles(spark, d), "id", "text").withColumn("confidence", F.round("confidence", 6))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'")
+    return neighbours.usable(e, "tweet_id", "vector", 96, newest="row_idx")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of posts of which one is among the five most similar of the other."""
+    near = neighbours.nearest(_vectors(spark, d), 96, k=5)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the exact five nearest of every id divisible by 50, the share the index finds."""
+    v = _vectors(spark, d)
+    exact = neighbours.exact_nearest(v.where(F.col("id").cast("decimal(38,0)") % 50 == 0), v, 96, k=5)
+    near = neighbours.nearest(v, 96, k=5).select("id", "other", F.lit(1).alias("hit"))
+    return exact.join(near, ["id", "other"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_drawn": p1_drawn,
@@ -57,6 +97,11 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p4_found": p4_found,
+    "p4_languages": p4_languages,
+    "p4_stretches": p4_stretches,
+    "p6_found": p6_found,
+    "p6_recall": p6_recall,
 }
 
 ORACLE: dict[str, str] = {}

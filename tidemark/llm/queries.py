@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import canon, capping, language, neardup, neighbours
+from tidemark.llm import canon, capping, encoding, language, neardup, neighbours
 from tidemark.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,16 @@ def p6_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(near, ["id", "other"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with characters from a wrong encoding."""
+    return encoding.garbled_documents(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with characters from a wrong encoding, with the text restored where that is possible."""
+    return encoding.garbled_documents(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_drawn": p1_drawn,
@@ -102,6 +112,8 @@ QUERIES: dict[str, Query] = {
     "p4_stretches": p4_stretches,
     "p6_found": p6_found,
     "p6_recall": p6_recall,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 ORACLE: dict[str, str] = {}

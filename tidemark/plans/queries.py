@@ -5,8 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import shredding
+from tidemark.storage import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(shredding.shred(table(spark, d, "likes_export"), "record_id", "payload"), "nodes")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Media entries with a URL of each post at any depth, with their posts and users."""
+    return shredding.media_of_posts(_nodes(spark, d)).withColumnRenamed("record", "record_id").distinct()
+
+
+def p5_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of posts, each with its enclosing post."""
+    return shredding.posts(_nodes(spark, d)).withColumnRenamed("record", "record_id")
+
+
+def p5_users(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of posts' users."""
+    return shredding.users(_nodes(spark, d)).withColumnRenamed("record", "record_id")
+
+
+def p5_media(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of media entries."""
+    return shredding.media(_nodes(spark, d)).withColumnRenamed("record", "record_id")
+
+
+QUERIES: dict[str, Query] = {
+    "p5_found": p5_found,
+    "p5_posts": p5_posts,
+    "p5_users": p5_users,
+    "p5_media": p5_media,
+}
 ORACLE: dict[str, str] = {}

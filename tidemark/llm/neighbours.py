@@ -146,7 +146,14 @@ def _compare(x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, k: in
         qq, oo = np.repeat(q, top.shape[1]), o[top.ravel()]
         ok = np.take_along_axis(s, top, axis=1).ravel() > -2
         qq, oo = qq[ok], oo[ok]
-        out.append((qq, oo, np.round(np.einsum("ij,ij->i", x[qq], x[oo]), 12)))
+        exact = np.round(np.einsum("ij,ij->i", x[qq], x[oo]), 12)
+        if top.shape[1] > k:  # what is beyond k even in double precision can't be among the k nearest
+            order = np.lexsort((-exact, qq))
+            place = np.arange(len(order)) - np.searchsorted(qq[order], qq[order])
+            edge = exact[order][np.minimum(np.searchsorted(qq[order], qq[order]) + k - 1, len(order) - 1)]
+            keep = order[(place < k) | (exact[order] >= edge)]
+            qq, oo, exact = qq[keep], oo[keep], exact[keep]
+        out.append((qq, oo, exact))
     return out
 
 

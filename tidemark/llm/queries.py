@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import canon, capping, encoding, language, neardup, neighbours
-from tidemark.storage import table
+from tidemark.llm import canon, capping, encoding, language, mixing, neardup, neighbours, packing, tokens
+from tidemark.storage import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,35 @@ def p6_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(near, ["id", "other"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sized(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "container_sizes")).withColumnRenamed("id", "doc_id")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container (or containers, if it is longer) of each capacity."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of every container."""
+    return packing.fills(_packed(spark, d), table(spark, d, "container_sizes"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = materialize(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", F.col("source")), "tokens")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), seed=5)[0]
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents chosen for the mix, with their copies."""
+    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source reaches in the mix."""
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with characters from a wrong encoding."""
     return encoding.garbled_documents(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
@@ -112,6 +141,10 @@ QUERIES: dict[str, Query] = {
     "p4_stretches": p4_stretches,
     "p6_found": p6_found,
     "p6_recall": p6_recall,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }

@@ -20,7 +20,7 @@ def post_time(created_at: Column) -> Column:
 
 def month_key(created_at: Column) -> Column:
     """yyyy-MM of a post in its own offset; null where the date can't be read."""
-    wall = F.concat(F.substring(created_at, 5, 16), F.lit("+0000 "), F.substring(created_at, -4, 4))
+    wall = F.regexp_replace(F.substring(created_at, 5, 40), "[+-][0-9]{4} ", "+0000 ")
     return F.when(post_time(created_at).isNotNull(), F.date_format(F.try_to_timestamp(wall, F.lit("MMM d HH:mm:ss Z yyyy")), "yyyy-MM"))
 
 
@@ -55,4 +55,5 @@ def anchor(year: int | None, month_start: str | None = None, month_end: str | No
 def recency(created_at: Column, at: Column, scale_days: float) -> Column:
     """exp(-days before at / scale_days); posts after at count as at it; 0 where the date can't be read."""
     days = (F.unix_micros(at) - F.unix_micros(post_time(created_at))) / F.lit(86_400_000_000.0)
-    return F.coalesce(F.exp(-F.greatest(F.lit(0.0), days) / F.lit(float(scale_days))), F.lit(0.0))
+    # greatest skips nulls, so the unreadable date is asked for first
+    return F.when(days.isNull(), 0.0).otherwise(F.exp(-F.greatest(F.lit(0.0), days) / F.lit(float(scale_days))))

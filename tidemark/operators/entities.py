@@ -61,7 +61,11 @@ def extract(posts: DataFrame, ident: str = "id", text: str = "text", bodies: str
     whole = F.array_join(F.concat(F.array(own), F.coalesce(F.col(bodies), F.array().cast("array<string>"))), "\n") if bodies else own
     found = {"handle": handles, "hashtag": hashtags, "domain": domains, "concept": concepts}
     rows = posts.select(F.col(ident).cast("string").alias("id"), F.length(own).alias("_length"), whole.alias("_whole"))
-    parts = F.concat(*[F.transform(found[k](F.col("_whole")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in KINDS])
+
+    def named(kind: str):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+    parts = F.concat(*[F.transform(found[k](F.col("_whole")), named(k)) for k in KINDS])
     counted = rows.select("id", "_length", F.explode(parts).alias("e")).groupBy("id", "_length", "e.kind", "e.value").agg(F.count("*").alias("n"))
     enough = (F.col("kind") != "concept") | (F.col("n") >= F.when(F.col("_length") < SHORT, 1).otherwise(2))
     return counted.where(enough).select("id", "kind", "value", F.col("n").cast("double").alias("weight"))

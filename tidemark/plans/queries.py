@@ -1,16 +1,28 @@
-"""Registered queries over the given tables, with the SQL that gives the same rows."""
+"""Registered queries over the given tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import shredding
-from tidemark.storage import materialize, table
+from tidemark.functions import dates, text, vectors
+from tidemark.operators import bm25, dense, entities, graph, ranking, reports, search, shredding
+from tidemark.operators import posts as P
+from tidemark.plans.oracle import SQL
+from tidemark.sources import archive, sinks
+from tidemark.storage import materialize, shared_dir, table
+from tidemark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+NOW = datetime(2026, 1, 1, tzinfo=UTC)
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return P.latest(table(spark, d, "tweets"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +49,254 @@ def p5_media(spark: SparkSession, d: str) -> DataFrame:
     return shredding.media(_nodes(spark, d)).withColumnRenamed("record", "record_id")
 
 
+def posts_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _posts(spark, d).select("id", "text", "created_at", F.col("author.id").alias("author_id"), "view_count", "favorite_count", F.col("fetched_at").cast("string").alias("fetched_at"))
+
+
+def posts_flat(spark: SparkSession, d: str) -> DataFrame:
+    return P.flat(table(spark, d, "tweets")).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def posts_stats(spark: SparkSession, d: str) -> DataFrame:
+    return P.stats(table(spark, d, "tweets"))
+
+
+def month_counts(spark: SparkSession, d: str) -> DataFrame:
+    return P.month_counts(table(spark, d, "tweets"))
+
+
+def author_affinity(spark: SparkSession, d: str) -> DataFrame:
+    return P.author_affinity(table(spark, d, "tweets")).withColumn("affinity", F.round("affinity", 9))
+
+
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.query_terms(table(spark, d, "search_queries"))
+
+
+def query_months(spark: SparkSession, d: str) -> DataFrame:
+    return search.filters(table(spark, d, "search_queries"))
+
+
+def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.build(_posts(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame, DataFrame]:
+    """Queries, posts, index, query vectors and rows of a hybrid search; a query's vector is that of the row with its number."""
+    posts = materialize(_posts(spark, d), "posts")
+    rows = materialize(dense.usable(table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'"), "tweet_id", "vector", 96, "row_idx"), "rows")
+    queries = table(spark, d, "search_queries")
+    newest = table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'").groupBy(F.col("tweet_id").alias("id")).agg(F.max("row_idx").alias("query_id"))
+    asked = newest.join(queries.select("query_id"), "query_id", "left_semi").join(rows, "id").select("query_id", "v")
+    return queries, posts, bm25.build(posts), asked, rows
+
+
+def search_bm25(spark: SparkSession, d: str) -> DataFrame:
+    posts = materialize(_posts(spark, d), "posts")
+    return search.lexical(bm25.build(posts), table(spark, d, "search_queries"), posts).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
+
+
+def search_dense(spark: SparkSession, d: str) -> DataFrame:
+    queries, posts, _, asked, rows = _parts(spark, d)
+    return search.dense_hits(asked, rows, queries, posts).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
+
+
+def search_fused(spark: SparkSession, d: str) -> DataFrame:
+    queries, posts, index, asked, rows = _parts(spark, d)
+    near, words = search.dense_hits(asked, rows, queries, posts), search.lexical(index, queries, posts)
+    return ranking.fuse([near, words]).withColumn("fused", F.round("fused", 9))
+
+
+def _features(ranked: DataFrame) -> DataFrame:
+    return ranked.select("query_id", "id", "score", "walker_relevance", *[F.col("feature_breakdown")[f].alias(f) for f in ranking.FEATURES], "rnk")
+
+
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: lexical and dense candidates of every query, fused, re-ranked, the best 50."""
+    queries, posts, index, asked, rows = _parts(spark, d)
+    return _features(search.search(queries, posts, index, P.author_affinity(table(spark, d, "tweets")), NOW, asked, rows))
+
+
+def rank_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "scored_hits").where(~F.isnan("walker_relevance")).groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max("walker_relevance").alias("relevance"))
+    return _features(ranking.rank(hits, _posts(spark, d), P.author_affinity(table(spark, d, "tweets")), F.lit(NOW), top=20))
+
+
+def entities_all(spark: SparkSession, d: str) -> DataFrame:
+    return entities.extract(_posts(spark, d))
+
+
+def entities_top(spark: SparkSession, d: str) -> DataFrame:
+    total = entities.extract(_posts(spark, d)).groupBy("kind", "value").agg(F.sum("weight").alias("weight"))
+    w = Window.partitionBy("kind").orderBy(F.desc("weight"), "value")
+    return total.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 50)
+
+
+def _graph(spark: SparkSession, d: str) -> graph.Graph:
+    hits = table(spark, d, "scored_hits").where("tweet_id IS NOT NULL")
+    s = F.when(F.col("score").isNull() | F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    best = hits.groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max(s).alias("score"))
+    top = best.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rnk <= 20").select("query_id", "id", "rnk")
+    top = materialize(top, "hits")
+    # a graph is of a search's hits: its posts are read, not the archive
+    return graph.build(table(spark, d, "search_queries"), top, materialize(_posts(spark, d).join(top.select("id").distinct(), "id", "left_semi"), "posts"))
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d).nodes.drop("seq")
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d).edges.drop("seq")
+
+
+def graph_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The entities a second round of each search is made with."""
+    return graph.seeds(_graph(spark, d).nodes)
+
+
+def graph_json(spark: SparkSession, d: str) -> DataFrame:
+    return graph.as_json(_graph(spark, d))
+
+
+def search_second_round(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of both rounds of every search; the second round is one plan over all seeds."""
+    posts = materialize(_posts(spark, d), "posts")
+    index = bm25.build(posts)
+    queries = table(spark, d, "search_queries").select("query_id", "query_text", "year_filter", "month_start", "month_end")
+    first = materialize(search.lexical(index, queries, posts, 20).select("query_id", "id", "rnk"), "hits")
+    nodes = graph.build(queries, first, posts).nodes
+    return search.second_round(first, queries, nodes, lambda q: search.lexical(index, q, posts, 20))
+
+
+def hits_shaped(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as they are shown."""
+    hits = table(spark, d, "scored_hits").groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max("score").alias("score"), F.max("walker_relevance").alias("walker_relevance"), F.max(F.to_json("feature_breakdown")).alias("feature_breakdown"))
+    ranked = hits.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return search.shaped(ranked, _posts(spark, d))
+
+
+def hits_by_month(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "scored_hits").select("query_id", F.col("tweet_id").alias("id")).distinct()
+    month = F.coalesce(dates.month_key(F.col("created_at")), F.lit("unknown"))
+    return hits.join(_posts(spark, d).select("id", month.alias("year_month")), "id").groupBy("query_id", "year_month").agg(F.count("*").alias("hits"))
+
+
+def month_sections(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("year_month"), F.col("text").alias("markdown"))
+    return archive.sections(files, ("x.example",)).select(F.col("year_month").alias("doc_id"), "tweet_id", "handle")
+
+
+def text_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """Posts' texts and names as they are shown."""
+    t = table(spark, d, "tweets").select("id", "text", F.col("author.name").alias("name")).distinct()
+    return t.select("id", text.sanitized(F.col("text")).alias("text"), text.sanitized(F.col("name")).alias("name"), text.fenced(F.col("text"), "tweet").alias("fenced"))
+
+
+def text_cuts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.cut(t, 240).alias("plain"), text.flat_cut(t).alias("flat"), text.ellipsis_cut(t).alias("short"))
+
+
+def byte_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.byte_cut(F.col("text"), 1024).alias("cut"))
+
+
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tweets").select("id", "text").distinct().select("id", text.html_escaped(F.col("text")).alias("html"))
+
+
+def markdown_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The Markdown export's lines."""
+    return sinks.markdown_rows(_posts(spark, d))
+
+
+def media_files(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "tweets").select(F.col("id").alias("tweet_id"), F.posexplode("media").alias("pos", "m"))
+    url = text.original_photo_url(F.col("m.type"), F.col("m.media_url"), F.col("m.url"))
+    rows = m.select("tweet_id", "pos", F.col("m.type").alias("type"), url.alias("url")).where("url IS NOT NULL")
+    return rows.withColumn("extension", text.file_extension(F.col("url"), F.lit(""), F.col("type")))
+
+
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus_embeddings").where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return rows.select("row_idx", F.size("vector").alias("dims"), F.round(vectors.norm(F.col("vector")), 6).alias("norm"))
+
+
+def resume_merge(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "tweets").select("id", "fetched_at")
+    cut = F.lit("2025-12-01").cast("timestamp_ntz")
+    return P.new_only(t.where(F.col("fetched_at") >= cut), t.where(F.col("fetched_at") < cut)).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
+def posts_popular(spark: SparkSession, d: str) -> DataFrame:
+    some = P.since(P.popular(P.with_media(_posts(spark, d)), 100), F.lit("2025-01-01").cast("timestamp"))
+    return some.select("id", "favorite_count", F.size("media").alias("media"))
+
+
+def stream_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of each label, from a stream that takes each id once."""
+    given = table(spark, d, "tweets")
+    stream = spark.readStream.schema(given.schema).parquet(f"{d}/tweets.parquet").select("id", "lang", F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("fetched_at IS NOT NULL")
+    home = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    ingest.sink(ingest.new_deliveries(stream, "3650 days"), f"{home}/posts", f"{home}/checkpoint").awaitTermination()
+    return spark.read.schema("id string, lang string, fetched_at timestamp").parquet(f"{home}/posts").groupBy("lang").agg(F.count("*").alias("posts"))
+
+
+def report_trend(spark: SparkSession, d: str) -> DataFrame:
+    """The trend report of the first query with hits (a report is of one search)."""
+    posts = materialize(_posts(spark, d), "posts")
+    queries = table(spark, d, "search_queries").select("query_id", "query_text", "year_filter", "month_start", "month_end")
+    hits = materialize(search.lexical(bm25.build(posts), queries, posts, 50).select("query_id", "id", "rnk"), "hits")
+    one = hits.agg(F.min("query_id")).first()[0]
+    asked = queries.where(F.col("query_id") == one)
+    own = hits.where(F.col("query_id") == one)
+    g = graph.build(asked, own, posts)
+    shown = own.join(posts.select("id", "text", "urls", F.col("author.screen_name").alias("handle"), dates.month_key(F.col("created_at")).alias("m")), "id").orderBy("rnk").collect()  # 50 hits
+    nodes = [r.asDict() for r in g.nodes.orderBy("seq").drop("seq", "query_id").collect()]
+    edges = [r.asDict() for r in g.edges.orderBy("seq").drop("seq", "query_id").collect()]
+    said = reports.render("trend", asked.first().query_text, [reports.Hit(r.id, r.handle or "", r.text or "", list(r.urls or []), r.m or "") for r in shown], nodes, edges)
+    return spark.createDataFrame(list(enumerate(said.split("\n"))), "line int, markdown string")
+
+
 QUERIES: dict[str, Query] = {
+    "search_hybrid": search_hybrid,
+    "search_bm25": search_bm25,
+    "search_dense": search_dense,
+    "search_fused": search_fused,
+    "search_second_round": search_second_round,
+    "bm25_terms": bm25_terms,
+    "query_terms": query_terms,
+    "query_months": query_months,
+    "rank_hits": rank_hits,
+    "hits_shaped": hits_shaped,
+    "hits_by_month": hits_by_month,
+    "posts_latest": posts_latest,
+    "posts_flat": posts_flat,
+    "posts_stats": posts_stats,
+    "posts_popular": posts_popular,
+    "month_counts": month_counts,
+    "author_affinity": author_affinity,
+    "resume_merge": resume_merge,
+    "entities": entities_all,
+    "entities_top": entities_top,
+    "graph_nodes": graph_nodes,
+    "graph_edges": graph_edges,
+    "graph_seeds": graph_seeds,
+    "graph_json": graph_json,
+    "report_trend": report_trend,
+    "month_sections": month_sections,
+    "markdown_posts": markdown_posts,
+    "html_texts": html_texts,
+    "text_sanitized": text_sanitized,
+    "text_cuts": text_cuts,
+    "byte_cuts": byte_cuts,
+    "media_files": media_files,
+    "vector_norms": vector_norms,
+    "stream_languages": stream_languages,
     "p5_found": p5_found,
     "p5_posts": p5_posts,
     "p5_users": p5_users,
     "p5_media": p5_media,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(SQL)

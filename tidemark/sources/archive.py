@@ -142,15 +142,15 @@ def month_files(spark: SparkSession, folder: str) -> DataFrame:
     return named.where("year_month <> ''").orderBy(F.desc("year_month"))
 
 
-def sections(files: DataFrame) -> DataFrame:
+def sections(files: DataFrame, hosts: tuple[str, ...] = ("x.com", "twitter.com")) -> DataFrame:
     """(year_month, seq, tweet_id, handle, text, raw_section): the posts of monthly Markdown.
 
     A section begins at a line with ###; those without a status address are
-    skipped.  The id is that of the first status address in the section.  The
-    text is the section without its heading and its link line.
+    skipped.  The id is that of the first status address (of these hosts) in the
+    section.  The text is the section without its heading and its link line.
     """
     parts = files.select("year_month", F.posexplode(F.split("markdown", r"(?m)^(?=### )")).alias("seq", "s")).where(F.col("s").startswith("### "))
-    link = r"https?://(?:x|twitter)\.com/([^/\s)]*)/status/([0-9]+)"
+    link = rf"https?://(?:{'|'.join(h.replace('.', '[.]') for h in hosts)})/([^/\s)]*)/status/([0-9]+)"
     first = F.regexp_extract("s", r"^([^\n]*)", 1)
     of_link = F.regexp_extract(first, r"^###\s+\[@([^\]]+)\]\(", 1)
     bare = F.regexp_extract(first, r"^###\s+@([A-Za-z0-9_]+)", 1)

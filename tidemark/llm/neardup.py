@@ -206,3 +206,21 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, t: float = 0.7, m
     inside = x.join(y, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).where("a < b").select("a", "b")
     both = across.where("a <> b").unionByName(inside)
     return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, ident: str, text: str, t: float = 0.7, min_words: int = 8) -> DataFrame:
+    """(id, class, group, links): one row for each id and word set, with its class, its group and its class's links.
+
+    A class holds equal word sets; links counts the other classes it is near
+    to; a group is what links connect, named after its smallest class.
+    """
+    from tidemark.operators.graph import connected_components
+
+    sets = materialize(word_sets(df, ident, text, min_words), "wordsets")
+    name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
+    links = materialize(class_links(sets, t).select(name("x1", "x2").alias("x"), name("y1", "y2").alias("y")), "links")
+    count = links.select(F.explode(F.array("x", "y")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    groups = connected_components(links, "x", "y").select(F.col("node").alias("class"), F.col("component").alias("group"))
+    member = sets.select("id", name("c1", "c2").alias("class")).distinct()
+    out = member.join(count.join(groups, "class"), "class", "left")
+    return out.select("id", "class", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -36,6 +36,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "tweets"), "id", "text", t=0.7, min_words=8)
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each post's class of equal word sets, the group of near ones it is in, and its links."""
+    return neardup.near_duplicate_groups(table(spark, d, "tweets"), "id", "text", t=0.7, min_words=8)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Posts and users whose text or name reads the same in other characters."""
     t = table(spark, d, "tweets")
@@ -134,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "p1_drawn": p1_drawn,
     "p1_share": p1_share,
     "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p4_found": p4_found,

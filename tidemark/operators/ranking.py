@@ -71,12 +71,13 @@ def _log(c: str) -> Column:
 def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column, words: DataFrame | None = None, terms: DataFrame | None = None, weights: Weights = Weights(), top: int | None = None, digits: int = 6) -> DataFrame:
     """(query_id, id, score, relevance_in, features, rnk) of hits (query_id, id, relevance).
 
-    Hits whose post is unknown are dropped.  affinity has (screen_name,
+    Hits whose post is unknown are dropped; a null or NaN relevance counts 0.  affinity has (screen_name,
     affinity); words and terms give the penalty for query words a post lacks.
     The score is the sum of the ten features; ties go to the larger relevance,
     then to the smaller id.  anchor may use columns of hits.
     """
     extra = [c for c in hits.columns if c not in ("query_id", "id", "relevance")]
+    hits = hits.withColumn("relevance", F.coalesce(F.nanvl("relevance", F.lit(0.0)), F.lit(0.0)))
     slim = posts.select("id", "text", "urls", "created_at", "favorite_count", "retweet_count", "reply_count", "view_count", F.col("author.screen_name").alias("screen_name"), F.col("author.verified").alias("verified"), (F.coalesce(F.size("media"), F.lit(0)) > 0).alias("has_media"))
     # the hits are the small side: posts are only read for them
     full = hits.join(slim, "id").join(affinity.select("screen_name", F.col("affinity").alias("_aff")), "screen_name", "left")

@@ -1,4 +1,8 @@
-"""SQL with the same rows as the queries of the core, for DuckDB over the same tables."""
+"""SQL with the same rows as the queries of the core, for DuckDB over the same tables.
+
+NaN is asked for by its text: isnan is folded away where a file's statistics,
+which leave NaN out, say that there is none.
+"""
 
 from __future__ import annotations
 
@@ -69,7 +73,8 @@ _USABLE = """usable AS MATERIALIZED (SELECT tweet_id AS id, CAST(vector AS DOUBL
 
 _DENSE = f"""{_USABLE},
 units AS MATERIALIZED (SELECT id, row_idx, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM usable),
-sims AS (SELECT s.query_id, u.id, list_dot_product(q.v, u.v) AS score FROM search_queries s JOIN units q ON q.row_idx = s.query_id CROSS JOIN units u),
+best AS MATERIALIZED (SELECT query_id, id FROM (SELECT h.query_id, u.id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, u.id) AS place FROM scored_hits h JOIN units u ON u.id = h.tweet_id WHERE h.score IS NOT NULL AND NOT (CAST(h.score AS VARCHAR) = 'nan')) WHERE place = 1),
+sims AS (SELECT s.query_id, u.id, list_dot_product(q.v, u.v) AS score FROM search_queries s JOIN best b ON b.query_id = s.query_id JOIN units q ON q.id = b.id CROSS JOIN units u),
 dense AS MATERIALIZED (SELECT query_id, id, score, rnk FROM (SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rnk
   FROM {_within('sims')}) WHERE rnk <= 200)"""
 
@@ -93,15 +98,15 @@ def _rank(hits: str, anchor: str, missing: str, top: int) -> str:
         "reply": _log("p.reply_count", 0.3),
         "view": _log("p.view_count", 0.1),
         "affinity": "coalesce(a.affinity, 0)",
-        "recency": f"coalesce(exp(-greatest(0.0, (epoch_us({anchor}) - epoch_us({_time('p.created_at')})) / 86400000000.0) / 180.0), 0) * 1.5",
+        "recency": f"CASE WHEN {_time('p.created_at')} IS NULL THEN 0.0 ELSE exp(-greatest(0.0, (epoch_us({anchor}) - epoch_us({_time('p.created_at')})) / 86400000000.0) / 180.0) * 1.5 END",
         "verified": "CASE WHEN p.author.verified THEN 0.5 ELSE 0 END",
         "media": "CASE WHEN len(p.media) > 0 THEN 0.3 ELSE 0 END",
         "coverage": f"-({missing}) * 5.0",
     }
     total = " + ".join(f"({x})" for x in parts.values())
-    shown = ", ".join(f"round({x}, 6) AS {k}" for k, x in parts.items())
+    shown = ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS {k}" for k, x in parts.items())
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, walker_relevance DESC, id) AS rnk FROM (
-  SELECT h.query_id, h.id, round({total}, 6) AS score, h.relevance AS walker_relevance, {shown}
+  SELECT h.query_id, h.id, round(CAST({total} AS DOUBLE), 6) AS score, h.relevance AS walker_relevance, {shown}
   FROM {hits} h JOIN posts p ON p.id = h.id LEFT JOIN affinity a ON a.screen_name = p.author.screen_name)) WHERE rnk <= {top}"""
 
 
@@ -124,7 +129,7 @@ entities AS MATERIALIZED (SELECT id, kind, value, CAST(count(*) AS DOUBLE) AS we
 _NODE = "CASE kind WHEN 'concept' THEN 'concept:' || regexp_replace(regexp_replace(lower(value), '[^0-9a-z]+', '_', 'g'), '^_+|_+$', '', 'g') WHEN 'handle' THEN 'handle:' || lower(regexp_replace(value, '^@+', '')) WHEN 'hashtag' THEN 'hashtag:' || lower(regexp_replace(value, '^#+', '')) ELSE 'domain:' || lower(value) END"
 
 _GRAPH = f"""{_POSTS}, {ENTITIES},
-hits AS (SELECT query_id, tweet_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY max(CASE WHEN score IS NULL OR isnan(score) THEN CAST('-infinity' AS DOUBLE) ELSE score END) DESC, tweet_id) AS rnk FROM scored_hits WHERE tweet_id IS NOT NULL GROUP BY query_id, tweet_id),
+hits AS (SELECT query_id, tweet_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) DESC, tweet_id) AS rnk FROM scored_hits WHERE tweet_id IS NOT NULL GROUP BY query_id, tweet_id),
 top AS MATERIALIZED (SELECT * FROM hits WHERE rnk <= 20),
 slim AS (SELECT t.query_id, t.id, t.rnk, p.author.screen_name AS handle FROM top t LEFT JOIN posts p USING (id))"""
 
@@ -152,7 +157,7 @@ lacks AS MATERIALIZED (SELECT h.query_id, h.id, sum(greatest(0, coalesce(t.idf,
   LEFT JOIN postings p ON p.id = h.id AND p.term = q.term WHERE p.term IS NULL GROUP BY ALL)
 {_rank('hits', _ANCHOR, '(coalesce((SELECT missing FROM lacks l WHERE l.query_id = h.query_id AND l.id = h.id), 0))', 50)}""",
     "rank_hits": f"""WITH {_POSTS}, {_AFFINITY},
-hits AS (SELECT query_id, tweet_id AS id, max(walker_relevance) AS relevance FROM scored_hits WHERE NOT isnan(walker_relevance) GROUP BY ALL)
+hits AS (SELECT query_id, tweet_id AS id, max(walker_relevance) AS relevance FROM scored_hits WHERE NOT (CAST(walker_relevance AS VARCHAR) = 'nan') GROUP BY ALL)
 {_rank('hits', "TIMESTAMP '2026-01-01 00:00:00'", '0.0', 20)}""",
     "entities": f"WITH {_POSTS}, {ENTITIES} SELECT id, kind, value, weight FROM entities",
     "entities_top": f"WITH {_POSTS}, {ENTITIES} SELECT kind, value, weight, place FROM (SELECT kind, value, sum(weight) AS weight, row_number() OVER (PARTITION BY kind ORDER BY sum(weight) DESC, value) AS place FROM entities GROUP BY kind, value) WHERE place <= 50",

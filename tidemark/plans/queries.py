@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -14,7 +13,7 @@ from tidemark.operators import bm25, dense, entities, graph, ranking, reports, s
 from tidemark.operators import posts as P
 from tidemark.plans.oracle import SQL
 from tidemark.sources import archive, sinks
-from tidemark.storage import materialize, shared_dir, table
+from tidemark.storage import materialize, scratch, table
 from tidemark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +81,13 @@ def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame, DataFrame]:
-    """Queries, posts, index, query vectors and rows of a hybrid search; a query's vector is that of the row with its number."""
+    """Queries, posts, index, query vectors and rows of a hybrid search; in the place of a query's embedding stands its best hit's vector."""
     posts = materialize(_posts(spark, d), "posts")
     rows = materialize(dense.usable(table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'"), "tweet_id", "vector", 96, "row_idx"), "rows")
     queries = table(spark, d, "search_queries")
-    newest = table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'").groupBy(F.col("tweet_id").alias("id")).agg(F.max("row_idx").alias("query_id"))
-    asked = newest.join(queries.select("query_id"), "query_id", "left_semi").join(rows, "id").select("query_id", "v")
+    best = table(spark, d, "scored_hits").where("score IS NOT NULL AND NOT isnan(score)").select("query_id", F.col("tweet_id").alias("id"), "score").join(rows.select("id"), "id", "left_semi")
+    best = best.groupBy("query_id").agg(F.max("score").alias("score")).join(best, ["query_id", "score"]).groupBy("query_id").agg(F.min("id").alias("id"))
+    asked = best.join(queries.select("query_id"), "query_id", "left_semi").join(rows, "id").select("query_id", "v")
     return queries, posts, bm25.build(posts), asked, rows
 
 
@@ -118,7 +118,7 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "scored_hits").where(~F.isnan("walker_relevance")).groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max("walker_relevance").alias("relevance"))
+    hits = table(spark, d, "scored_hits").where("walker_relevance IS NOT NULL AND NOT isnan(walker_relevance)").groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max("walker_relevance").alias("relevance"))
     return _features(ranking.rank(hits, _posts(spark, d), P.author_affinity(table(spark, d, "tweets")), F.lit(NOW), top=20))
 
 
@@ -237,8 +237,9 @@ def posts_popular(spark: SparkSession, d: str) -> DataFrame:
 def stream_languages(spark: SparkSession, d: str) -> DataFrame:
     """Posts of each label, from a stream that takes each id once."""
     given = table(spark, d, "tweets")
-    stream = spark.readStream.schema(given.schema).parquet(f"{d}/tweets.parquet").select("id", "lang", F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("fetched_at IS NOT NULL")
-    home = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    # a pattern, so that the table may be one file or a folder
+    stream = spark.readStream.schema(given.schema).parquet(f"{d}/tweets.parque?").select("id", "lang", F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("fetched_at IS NOT NULL")
+    home = scratch(spark, "stream")
     ingest.sink(ingest.new_deliveries(stream, "3650 days"), f"{home}/posts", f"{home}/checkpoint").awaitTermination()
     return spark.read.schema("id string, lang string, fetched_at timestamp").parquet(f"{home}/posts").groupBy("lang").agg(F.count("*").alias("posts"))
 

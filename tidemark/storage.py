@@ -31,10 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[key]}"
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table when the driver's process ends; results may be read until then."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written once as a table of its own in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

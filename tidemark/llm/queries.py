@@ -159,11 +159,11 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["p1_found"] = """
 WITH a AS (SELECT id AS tweet_id, max(author.id) AS author_id FROM tweets WHERE author.id <> '' GROUP BY id),
-h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR isnan(score) THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
+h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
 r AS (SELECT query_id, tweet_id, row_number() OVER (PARTITION BY query_id, author_id ORDER BY s DESC, tweet_id) AS place FROM h JOIN a USING (tweet_id))
 SELECT query_id, tweet_id FROM r WHERE place > 3"""
 ORACLE["p1_share"] = """
 WITH a AS (SELECT id AS tweet_id, max(author.id) AS author_id FROM tweets WHERE author.id <> '' GROUP BY id),
-h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR isnan(score) THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
+h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
 r AS (SELECT query_id, author_id, tweet_id, row_number() OVER (PARTITION BY query_id, author_id ORDER BY s DESC, tweet_id) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM h JOIN a USING (tweet_id))
 SELECT query_id, author_id, tweet_id, place FROM r WHERE place <= ceil(n * 0.1)"""

@@ -26,10 +26,11 @@ def load_export(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     strict counts posts without the required fields and raises ExportError if
     there are any; else they are left out.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("content").cast("string").alias("value"))
     if strict and (bad := raw.where("try_parse_json(value) IS NULL OR schema_of_variant(try_parse_json(value)) NOT LIKE 'ARRAY<%'").select("file").limit(1).collect()):
         raise ExportError(f"{bad[0].file}: not a JSON array of posts")
-    # posts without an object's fields come out as null structs
+    if strict and raw.isEmpty():  # files of no bytes aren't read
+        raise ExportError(f"{path}: nothing to read")
     rows = raw.select("file", F.posexplode(F.from_json("value", f"array<struct<{POST}>>", {"mode": "PERMISSIVE"})).alias("at", "p"))
     need = ["p.id", "p.text", "p.created_at", "p.user.id", "p.user.screen_name", "p.user.name"]
     lacks = F.lit(False)

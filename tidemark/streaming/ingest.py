@@ -60,9 +60,11 @@ class PageReader(SimpleDataSourceStreamReader):
         return sorted(n for n in os.listdir(self.folder) if n.endswith(".json") and n > after and (upto is None or n <= upto))
 
     def _rows(self, names: list[str]) -> Iterator[tuple]:
+        rows = []
         for n in names:
             with open(f"{self.folder}/{n}", encoding="utf-8") as f:
-                yield n, f.read()
+                rows.append((n, f.read()))
+        return iter(rows)  # Spark copies it
 
     def read(self, start: dict):
         names = self._names(start["after"])[: self.batch]

@@ -25,7 +25,7 @@ def form(*texts):
         ("Нer ﬁrst notеbook quietlу", "Her first notebook quietly"),
         ("𝐝𝐢𝐠𝐞𝐬𝐭", "digest"),
         ("Νο", "No"),
-        ("сам", "cam"),
+        ("сор", "cop"),
         ("День с мaмa", "День с мама"),
         ("a  b \n c ", "a b\nc"),
         ("x² ½ ①", "x² ½ ①"),

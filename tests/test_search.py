@@ -53,8 +53,10 @@ def test_dense(spark):
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, v array<double>")
     got = rows(dense.top_k(q, v.repartition(3), 2), "query_id", "rnk", "id", "score")
     assert [(a, b, c, round(d, 6)) for a, b, c, d in got] == [(1, 1, "a", 1.0), (1, 2, "d", 1.0), (2, 1, "c", 1.0), (2, 2, "b", 0.8)]
-    only = spark.createDataFrame([(1, "b"), (2, "a")], "query_id bigint, id string")
-    assert rows(dense.top_k(q, v, 2, only), "query_id", "id") == [(1, "b"), (2, "a")]
+    scoped = spark.createDataFrame([(1, [2.0, 0.0], ["2025-01"]), (2, [0.0, 1.0], None), (3, [1.0, 0.0], [])], "query_id bigint, v array<double>, months array<string>")
+    dated = v.selectExpr("id", "v", "CASE id WHEN 'b' THEN '2025-01' WHEN 'c' THEN NULL ELSE '2025-02' END AS year_month")
+    assert rows(dense.top_k(scoped, dated, 2), "query_id", "id") == [(1, "b"), (2, "b"), (2, "c")]
+    assert rows(dense.top_k(scoped.where("query_id = 3"), dated, 2)) == []
     assert dense.top_k(q.limit(0), v).count() == 0
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,69 +32,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, allowed: DataFrame | None = None) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, id, score, rnk): of each (query_id, v) the k rows (id, v) of largest cosine; ties by smaller id.
 
     Queries go to the tasks in blocks; a task multiplies its rows with a block
-    and sends on only the k best of each query.  With allowed (query_id, id) the
-    rows of each query it names are filtered before they are ranked.
+    and sends on only the k best of each query.  Where queries have a column
+    ``months`` that is not null, only rows whose ``year_month`` is in it are
+    ranked; rows are masked before the best are chosen.
     """
     spark = rows.sparkSession
-    got = queries.select("query_id", "v").orderBy("query_id").toLocalIterator()
-    out, block = None, []
+    scoped = "months" in queries.columns
+    empty = "query_id bigint, id string, score double"
 
-    def part(block) -> DataFrame:
+    def part(block: list) -> DataFrame:
         ids = np.array([r.query_id for r in block], np.int64)
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([list(r.v) for r in block], np.float64))))
+        months = sorted({m for r in block if scoped and r.months is not None for m in r.months})
+        open_ = np.array([not scoped or r.months is None for r in block])
+        allow = np.tile(open_, (len(months) + 1, 1))  # the last row is of other months and none
+        for q, r in enumerate(block):
+            if not open_[q]:
+                allow[[months.index(m) for m in r.months], q] = True
+        shared = spark.sparkContext.broadcast((ids, _unit(np.array([list(r.v) for r in block], np.float64)), months, allow))
+
+        def best(table: pa.Table) -> pa.Table:
+            order = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+            first = np.asarray(order["query_id"])
+            starts = np.searchsorted(first, first)
+            return order.filter(pa.array(np.arange(len(first)) - starts < k))
 
         def run(batches):
-            qid, q = shared.value
+            qid, q, known, allowed = shared.value
             kept: list[pa.Table] = []
-
-            def best(table: pa.Table) -> pa.Table:
-                order = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
-                first = np.asarray(order["query_id"])
-                starts = np.searchsorted(first, first)
-                return order.filter(pa.array(np.arange(len(first)) - starts < k))
-
             for b in batches:
                 if b.num_rows == 0:
                     continue
                 sims = np.round(_unit(_matrix(b.column(1))) @ q.T, 9)
+                if known:
+                    at = pc.index_in(b.column(2), pa.array(known)).fill_null(len(known)).to_numpy(zero_copy_only=False)
+                    sims[~allowed[at]] = -np.inf
+                elif not allowed.all():
+                    sims[:, ~allowed[0]] = -np.inf
                 keep = min(k, b.num_rows)
                 edge = -np.partition(-sims, keep - 1, axis=0)[keep - 1]
-                r, c = np.nonzero(sims >= edge[None, :])
+                r, c = np.nonzero((sims >= edge[None, :]) & (sims > -np.inf))
                 kept.append(pa.table({"query_id": pa.array(qid[c]), "id": b.column(0).take(pa.array(r)), "score": pa.array(sims[r, c])}))
                 if sum(t.num_rows for t in kept) > 4 * k * len(qid) + 100_000:
                     kept = [best(pa.concat_tables(kept))]
             if kept:
                 yield from best(pa.concat_tables(kept)).to_batches()
 
-        if allowed is None:
-            return rows.select("id", "v").mapInArrow(run, "query_id bigint, id string, score double")
+        return rows.select("id", "v", *(["year_month"] if scoped else [])).mapInArrow(run, empty)
 
-        def pairs(batches):
-            qid, q = shared.value
-            place = {int(x): i for i, x in enumerate(qid)}
-            for b in batches:
-                at = np.array([place.get(x, -1) for x in b.column(2).to_pylist()], np.int64)
-                some = np.flatnonzero(at >= 0)
-                if len(some):
-                    v = _unit(_matrix(b.column(1).take(pa.array(some))))
-                    s = np.round(np.einsum("ij,ij->i", v, q[at[some]]), 9)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[at[some]]), b.column(0).take(pa.array(some)), pa.array(s)], ["query_id", "id", "score"])
-
-        return rows.join(allowed.select("query_id", "id"), "id").select("id", "v", "query_id").mapInArrow(pairs, "query_id bigint, id string, score double")
-
-    for r in got:
+    out, block = None, []
+    for r in queries.select("query_id", "v", *(["months"] if scoped else [])).orderBy("query_id").toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
             out, block = (part(block) if out is None else out.unionByName(part(block))), []
-    if block or out is None:
-        if not block:
-            return spark.createDataFrame([], "query_id bigint, id string, score double, rnk int")
+    if block:
         out = part(block) if out is None else out.unionByName(part(block))
-    return ranked(out, k)
+    return ranked(spark.createDataFrame([], empty) if out is None else out, k)
 
 
 def embed(df: DataFrame, ident: str, text: str, call: Callable[[list[str]], list[list[float]]], batch: int = 32, placeholder: str = " ") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators import bm25, dense, posts as P, ranking
+from tidemark.storage import materialize
 
 TOP = 50
 SNIPPET = 240
@@ -59,12 +60,13 @@ def lexical(index: bm25.Index, queries: DataFrame, posts: DataFrame, top: int =
 
 def dense_hits(query_vectors: DataFrame, rows: DataFrame, queries: DataFrame, posts: DataFrame, top: int = bm25.TOP) -> DataFrame:
     """(query_id, id, score, rnk) by cosine, filters first: queries without one rank all rows, the others their months' rows."""
-    wanted = filtered(queries).select("query_id")
-    free = dense.top_k(query_vectors.join(wanted, "query_id", "left_anti"), rows, top)
-    dated = posts.select("id", dates.month_key(F.col("created_at")).alias("year_month")).where("year_month IS NOT NULL")
-    allowed = dated.join(filters(queries), "year_month").select("query_id", "id")
-    bound = dense.top_k(query_vectors.join(wanted, "query_id", "left_semi"), rows, top, allowed)
-    return free.unionByName(bound)
+    months = filters(queries).groupBy("query_id").agg(F.collect_list("year_month").alias("_months"))  # at most twelve of a query
+    wanted = filtered(queries).select("query_id", F.lit(True).alias("_filtered"))
+    none = F.array().cast("array<string>")
+    scoped = query_vectors.join(wanted, "query_id", "left").join(months, "query_id", "left")
+    scoped = scoped.select("query_id", "v", F.when(F.col("_filtered"), F.coalesce("_months", none)).alias("months"))
+    dated = rows.join(posts.select("id", dates.month_key(F.col("created_at")).alias("year_month")), "id", "left")
+    return dense.top_k(scoped, dated, top)
 
 
 def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: DataFrame, now: datetime, query_vectors: DataFrame | None = None, rows: DataFrame | None = None, top: int = TOP, weights: ranking.Weights = ranking.Weights()) -> DataFrame:
@@ -74,9 +76,10 @@ def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: Da
     relevance feature is the cosine, 0 for posts only found by words.  Queries
     without a vector are searched by words alone, and without words by vector.
     """
-    by_words = lexical(index, queries, posts)
+    # both are used more than once, and have at most 200 rows for a query
+    by_words = materialize(lexical(index, queries, posts), "lexical")
     if query_vectors is not None:
-        near = dense_hits(query_vectors, rows, queries, posts)
+        near = materialize(dense_hits(query_vectors, rows, queries, posts), "dense")
         fused = ranking.fuse([near, by_words]).select("query_id", "id").join(near.select("query_id", "id", F.col("score").alias("cos")), ["query_id", "id"], "left")
     else:
         fused = ranking.fuse([by_words]).select("query_id", "id", F.lit(None).cast("double").alias("cos"))

@@ -17,31 +17,37 @@ TOP = 200
 
 @dataclass
 class Index:
-    """postings (id, term, tf, dl), terms (term, df, idf), and the corpus size and mean length.
+    """words (id, w, dl), postings (id, term, tf, dl), terms (term, df, idf), and the corpus size and mean length.
 
     The statistics are of all posts, whatever a query's filter.
     """
 
+    words: DataFrame
     postings: DataFrame
     terms: DataFrame
     docs: int
     mean_length: float
 
 
-def build(posts: DataFrame, ident: str = "id", body: str = "text", urls: str | None = "urls", keep: bool = True) -> Index:
-    """The index of posts with ids of their own; texts without a word count as documents of length 0."""
+def build(posts: DataFrame, ident: str = "id", body: str = "text", urls: str | None = "urls") -> Index:
+    """The index of posts with ids of their own; texts without a word count as documents of length 0.
+
+    Texts are cut into words once; the table of words serves the statistics, the
+    postings, and the ranker's check of what a post lacks.
+    """
     whole = text.index_text(F.col(body), F.col(urls)) if urls else F.coalesce(F.col(body), F.lit(""))
     words = posts.select(F.col(ident).cast("string").alias("id"), text.tokens(whole).alias("w")).withColumn("dl", F.size("w"))
+    words = materialize(words, "words")
     size = words.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     n, total = int(size.n), int(size.t or 0)
     # each text counts its own words, so the table of single words is never shuffled
     postings = words.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = materialize(postings, "postings") if keep else postings
+    postings = materialize(postings, "postings")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw)
     floor = df.agg(F.avg("raw")).first()[0] if n else 0.0
     terms = df.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * float(floor or 0.0))).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, n, total / n if n else 0.0)
+    return Index(words, postings, terms, n, total / n if n else 0.0)
 
 
 def query_terms(queries: DataFrame, query: str = "query_text", key: str = "query_id") -> DataFrame:

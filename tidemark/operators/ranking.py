@@ -68,11 +68,12 @@ def _log(c: str) -> Column:
     return F.log1p(F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0))).cast("double"))
 
 
-def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column, words: DataFrame | None = None, terms: DataFrame | None = None, weights: Weights = Weights(), top: int | None = None, digits: int = 6) -> DataFrame:
+def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column, words: DataFrame | None = None, terms: DataFrame | None = None, tokens: DataFrame | None = None, weights: Weights = Weights(), top: int | None = None, digits: int = 6) -> DataFrame:
     """(query_id, id, score, relevance_in, features, rnk) of hits (query_id, id, relevance).
 
-    Hits whose post is unknown are dropped; a null or NaN relevance counts 0.  affinity has (screen_name,
-    affinity); words and terms give the penalty for query words a post lacks.
+    Hits whose post is unknown are dropped; a null or NaN relevance counts 0.
+    affinity has (screen_name, affinity); words and terms give the penalty for query words a post lacks, and
+    tokens (id, w) the posts' words where they are known already.
     The score is the sum of the ten features; ties go to the larger relevance,
     then to the smaller id.  anchor may use columns of hits.
     """
@@ -82,8 +83,11 @@ def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column,
     # the hits are the small side: posts are only read for them
     full = hits.join(slim, "id").join(affinity.select("screen_name", F.col("affinity").alias("_aff")), "screen_name", "left")
     if words is not None:
-        lacks = missing_idf(full.select("query_id", "id", text.tokens(text.index_text(F.col("text"), F.col("urls"))).alias("w")), words, terms)
-        full = full.join(lacks, ["query_id", "id"])
+        if tokens is None:
+            own = full.select("query_id", "id", text.tokens(text.index_text(F.col("text"), F.col("urls"))).alias("w"))
+        else:
+            own = hits.select("query_id", "id").join(tokens.select("id", "w"), "id")
+        full = full.join(missing_idf(own, words, terms), ["query_id", "id"])
     else:
         full = full.withColumn("missing", F.lit(0.0))
     flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)

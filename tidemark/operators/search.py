@@ -84,7 +84,7 @@ def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: Da
     else:
         fused = ranking.fuse([by_words]).select("query_id", "id", F.lit(None).cast("double").alias("cos"))
     hits = fused.select("query_id", "id", F.coalesce("cos", F.lit(0.0)).alias("relevance")).join(anchors(queries, now).select("query_id", "anchor"), "query_id")
-    return ranking.rank(hits, posts, affinity, F.col("anchor"), bm25.query_terms(queries), index.terms, weights, top).drop("anchor")
+    return ranking.rank(hits, posts, affinity, F.col("anchor"), bm25.query_terms(queries), index.terms, index.words, weights, top).drop("anchor")
 
 
 def shaped(ranked: DataFrame, posts: DataFrame, tree: DataFrame | None = None) -> DataFrame:

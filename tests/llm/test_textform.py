@@ -66,6 +66,15 @@ def test_slices_and_chunks():
     assert tf.consistent_array(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_portions(monkeypatch):
+    texts = ["Ａ", None, "é" * 30, "", "b​", "ｃ" * 9] * 5
+    want = tf.consistent_array(pa.array(texts)).to_pylist()
+    monkeypatch.setattr(tf, "PORTION", 20)
+    parts = list(tf.portions(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0))
+    assert len(parts) > 5 and sum(b.num_rows for b in parts) == len(texts)
+    assert tf.consistent_array(pa.array(texts)).to_pylist() == want
+
+
 def test_long_text():
     assert form("é" * 300_000 + "​")[0] == "é" * 300_000
 

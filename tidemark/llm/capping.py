@@ -39,7 +39,8 @@ def race_key(score: Column, ident: Column, temperature: float = 0.0, seed: int =
 def reservoir(df: DataFrame, contributor: Sequence[str], ident: str, score: str, cap: int, temperature: float = 0.0, seed: int = 0) -> DataFrame:
     """The at most cap records of each contributor with the largest keys, with columns ``race`` and ``race_rank``.
 
-    Ties in the key go to the smaller ident.  Every null contributor is one
+    Columns of df with these two names are replaced, others kept; repeated rows
+    are records of their own.  Ties in the key go to the smaller ident.  Every null contributor is one
     group; filter them before if they are not to be limited.  cap must be >= 1.
     """
     if cap < 1:

@@ -273,7 +273,7 @@ def languages(df: DataFrame, profiles: Profiles, ident: str, text: str, label: s
     def run(batches):
         own = p.value
         names = np.array(own.languages, dtype=object)
-        for b in batches:
+        for b in (part for every in batches for part in tf.portions(every, 1)):
             cps, off = spoken(b.column(1))
             j = judged(own, cps, off)
             whole = np.flatnonzero((j["words"] >= WHOLE) | (j["lang"] == j["main"][j["row"]]) & (j["words"] > 0))
@@ -306,7 +306,7 @@ def language_stretches(df: DataFrame, profiles: Profiles, ident: str, text: str)
     def run(batches):
         own = p.value
         names = np.array(own.languages, dtype=object)
-        for b in batches:
+        for b in (part for every in batches for part in tf.portions(every, 1)):
             cps, off = spoken(b.column(1))
             j = judged(own, cps, off)
             some = np.flatnonzero(j["words"] > 0)

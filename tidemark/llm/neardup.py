@@ -64,9 +64,9 @@ def word_sets(df: DataFrame, ident: str, text: str, min_words: int) -> DataFrame
     """
 
     def run(batches):
-        from tidemark.llm import words as w
+        from tidemark.llm import textform, words as w
 
-        for b in batches:
+        for b in (part for whole in batches for part in textform.portions(whole, 1)):
             v, rows = w.word_sets(b.column(1))
             v, rows = w.distinct_sorted(v & np.uint64((1 << 8 * WIDTH) - 1), rows)
             keep = np.flatnonzero(np.diff(rows) >= min_words)

@@ -161,6 +161,20 @@ def tables() -> Tables:
     return Tables(length, start, np.array(pool, np.uint32), ccc, np.array(keys, np.int64), np.array([pairs[k] for k in keys], np.uint32), second, kind, script, latin, foreign, cyrillic, picture, plain)
 
 
+#: Bytes of text that are worked on at once (whole rows: a longer text stands alone).
+PORTION = 4_000_000
+
+
+def portions(batch: pa.RecordBatch, column: int):
+    """The batch in runs of rows whose texts in a column have at most PORTION bytes together."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, done + PORTION, side="right")))
+        yield batch.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
 def decode(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all rows of a string array, and the rows' offsets into them (null counts as empty)."""
     if isinstance(arr, pa.ChunkedArray):
@@ -377,6 +391,9 @@ def consistent_array(arr: pa.Array) -> pa.Array:
     """The consistent form of each row; null stays null.  Rows of plain characters are not touched."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    parts = list(portions(pa.RecordBatch.from_arrays([arr], ["t"]), 0))
+    if len(parts) > 1:
+        return pa.concat_arrays([consistent_array(b.column(0)) for b in parts])
     cps, off = decode(arr)
     n = len(cps)
     if n == 0:

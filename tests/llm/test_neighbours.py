@@ -47,6 +47,39 @@ def test_exact(spark):
     assert set(got) == {p for p in brute(x, 5) if p[0] < "00020"}
 
 
+@pytest.mark.parametrize("scaled", [False, True])
+def test_ties_go_to_smaller_ids(spark, scaled):
+    """More equal cosines than are kept in single precision: copies, and vectors that differ by a factor only."""
+    x = clustered(300, 16, 3, 0.0)
+    at = np.random.default_rng(4).permutation(300)
+    x[at[:120]] = x[at[0]]
+    x[at[120:140]] = x[at[120]]
+    if scaled:
+        x[at[:140]] *= np.random.default_rng(5).uniform(0.5, 2, (140, 1)).astype(np.float32).round(1)
+    v = N.usable(table(spark, x), "id", "vector", 16).orderBy("id", ascending=False)
+    want = brute(x, 5)
+    tied = {f"{i:05d}" for i in at[:140]}
+    for got in (N.nearest(v, 16, 5), N.nearest(v, 16, 5, block=40)):
+        got = rows(got, "id", "other", "similarity", "place")
+        assert {r[:2] for r in got if r[0] in tied} == {p for p in want if p[0] in tied}
+        assert all([r[3] for r in got if r[0] == i] and sorted(r[3] for r in got if r[0] == i) == list(range(1, 6)) for i in tied)
+        assert len({r[:2] for r in got} & want) / len(want) >= 0.9
+    assert set(rows(N.exact_nearest(v, v, 16, 5, block=64), "id", "other")) == want
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-7])
+def test_equal_single_precision_cosines(noise):
+    """Cosines that single precision can't tell apart are ranked in double precision, then by id, whatever their number."""
+    rng = np.random.default_rng(6)
+    x = N._unit(np.ones((400, 8)) + noise * rng.normal(size=(400, 8)))
+    ids = rng.permutation(400)
+    every = np.arange(400)
+    q, o, _ = N._compare(x, ids, every[:50], every[50:], 5)[0]
+    exact = np.round(np.einsum("ik,jk->ij", x[:50], x[50:]), 12)
+    order = np.lexsort((np.broadcast_to(ids[50:], exact.shape), -exact), axis=1)[:, :5]
+    assert {(i, 50 + j) for i, r in enumerate(order.tolist()) for j in r} <= set(zip(q.tolist(), o.tolist(), strict=True))
+
+
 def test_dirty_rows(spark):
     nan = float("nan")
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 0.0]), ("b", 1, [1.0, 0.1]), ("c", 1, [nan, 1.0]), ("d", 1, None), ("e", 1, [1.0]), (None, 1, [1.0, 1.0]), ("f", 1, [2.0, 0.2]), ("g", 1, [None, 1.0]), ("b", 0, [0.0, 1.0]), ("h", 1, [2.0, 0.2])], "id string, n bigint, vector array<float>")

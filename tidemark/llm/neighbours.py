@@ -11,6 +11,10 @@ visit serves both sides.  Candidates of all tables are merged by exact cosine.
 Vectors of a bucket meet in one block product.  A bucket with more members than
 a block is cut into a grid of cells, each resident block against each visitor
 block, so no pair is lost and no task grows with a bucket.
+
+Equal vectors are hashed and compared as one, with their k + 1 smallest ids.
+Products are in single precision; whatever lies within its error of the k-th is
+compared in double precision and then by id, however much that is.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,26 +140,65 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k]
 
 
-def _compare(x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, others, cosine): candidates of rows a among rows b of x, and of b among a."""
-    x32 = x.astype(np.float32)
-    sims = x32[a] @ x32[b].T
-    sims[ids[a][:, None] == ids[b][None, :]] = -2
+def _top(s: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, others, cosine): the k largest of each row of s, cosines of rows q and o of x, by cosine in double precision and then by ids.
+
+    Every column within the error of s of the row's k-th is compared.
+    """
+    margin = 2 * (x.shape[1] + 4) * float(np.finfo(s.dtype).eps) + 2e-12  # of two products of unit vectors, and of rounding
+    top = _best(s, k + _EXTRA)
+    values = np.take_along_axis(s, top, axis=1)
+    edge = np.full(len(s), -1.5) if top.shape[1] <= k else np.maximum(np.partition(values, -k, axis=1)[:, -k] - margin, -1.5)
+    wide = (values.min(axis=1) >= edge) & (top.shape[1] < s.shape[1])  # more than the kept ones may count
+    row, col = np.nonzero((values >= edge[:, None]) & ~wide[:, None])
+    parts = [(row, top[row, col])]
+    wide = np.flatnonzero(wide)
+    step = max(1, 50_000 // max(s.shape[1], 1))
+    for i in range(0, len(wide), step):
+        some = wide[i : i + step]
+        row, col = np.nonzero(s[some] >= edge[some, None])
+        parts.append((some[row], col))
     out = []
-    for s, q, o in ((sims, a, b), (sims.T, b, a)):
-        top = _best(s, k + _EXTRA)
-        qq, oo = np.repeat(q, top.shape[1]), o[top.ravel()]
-        ok = np.take_along_axis(s, top, axis=1).ravel() > -2
-        qq, oo = qq[ok], oo[ok]
+    for row, col in parts:
+        qq, oo = q[row], o[col]
         exact = np.round(np.einsum("ij,ij->i", x[qq], x[oo]), 12)
-        if top.shape[1] > k:  # what is beyond k even in double precision can't be among the k nearest
-            order = np.lexsort((-exact, qq))
-            place = np.arange(len(order)) - np.searchsorted(qq[order], qq[order])
-            edge = exact[order][np.minimum(np.searchsorted(qq[order], qq[order]) + k - 1, len(order) - 1)]
-            keep = order[(place < k) | (exact[order] >= edge)]
-            qq, oo, exact = qq[keep], oo[keep], exact[keep]
-        out.append((qq, oo, exact))
-    return out
+        order = np.lexsort((ids[oo], -exact, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        keep = order[place < k]
+        out.append((qq[keep], oo[keep], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _compare(x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, both: bool = True, precision: type = np.float32) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, others, cosine): the k nearest of rows a among rows b of x, and (both) of b among a; ids are numbers in the ids' order."""
+    xp = x.astype(precision)
+    sims = xp[a] @ xp[b].T
+    sims[ids[a][:, None] == ids[b][None, :]] = -2
+    return [_top(s, x, ids, q, o, k) for s, q, o in ((sims, a, b), (sims.T, b, a))[: 1 + both]]
+
+
+def _numbers(ids: pa.Array) -> np.ndarray:
+    """A number of each id, in the ids' order."""
+    d = ids.dictionary_encode()
+    place = np.empty(len(d.dictionary), np.int64)
+    place[pc.sort_indices(d.dictionary).to_numpy()] = np.arange(len(place))
+    return place[d.indices.to_numpy()]
+
+
+def _members(near: DataFrame, vectors: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """(id, other, similarity, place) of all ids, from the k nearest of the first id of each group of equal vectors.
+
+    copies: (id, v, first) of the groups of more than one: first id, vector, up to k + 1 smallest ids.
+    """
+    ids = F.coalesce(F.slice("first", 1, k), F.array("other"))
+    others = near.join(copies.select(F.col("id").alias("other"), "first"), "other", "left").select("id", "similarity", F.explode(ids).alias("other"))
+    own = copies.select("id", F.lit(1.0).alias("similarity"), F.explode("first").alias("other"))
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), F.asc("other"))
+    ranked = others.unionByName(own).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    best = ranked.groupBy(F.col("id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("place", "other", "similarity"))).alias("best"))
+    in_group = vectors.join(copies.select("v", F.col("id").alias("rep")), "v", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    got = in_group.join(best, "rep").select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["other"] != F.col("id")), 1, k)).alias("at", "b"))
+    return got.select("id", F.col("b.other").alias("other"), F.col("b.similarity").alias("similarity"), (F.col("at") + 1).alias("place"))
 
 
 def nearest(vectors: DataFrame, dims: int, k: int = 5, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -165,7 +209,11 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, tables: int = TABLES, pro
     an empty table gives none.
     """
     spark = vectors.sparkSession
-    vectors = materialize(vectors, "vectors")
+    everyone = materialize(vectors, "vectors")
+    first = everyone.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
+    groups = materialize(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("first")).select(F.col("first")[0].alias("id"), "v", "first"), "groups")
+    copies = groups.where(F.size("first") > 1)
+    vectors = groups.select("id", "v")
     hashes = hashes_for(vectors.count())
 
     def keys(batches):
@@ -218,7 +266,7 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, tables: int = TABLES, pro
             if len(use) == 0:
                 return None
             raw = table["v"].combine_chunks()
-            code = ids.dictionary_encode().indices.to_numpy()
+            code = _numbers(ids)
             qs, os, ss = [], [], []
             everything = _matrix(raw, dims)
             for g in use:
@@ -230,7 +278,7 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, tables: int = TABLES, pro
                 if len(vis):
                     pairs += _compare(x, code[lo:hi], vis, res, k)
                 if not grid[lo] and len(res) > 1:
-                    pairs += _compare(x, code[lo:hi], res, res, k)[:1]
+                    pairs += _compare(x, code[lo:hi], res, res, k, both=False)
                 for q, o, s in pairs:
                     qs.append(q + lo)
                     os.append(o + lo)
@@ -255,7 +303,8 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, tables: int = TABLES, pro
     pairs = placed.select("cell", "own", "grid", "id", "v").mapInArrow(meet, "id string, other string, similarity double")
     merged = pairs.repartition(max(parts, 1), "id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), F.asc("other"))
-    return merged.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    near = merged.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return _members(near, everyone, copies, k) if copies.limit(1).count() else near
 
 
 def exact_nearest(queries: DataFrame, vectors: DataFrame, dims: int, k: int = 5, block: int = BLOCK) -> DataFrame:
@@ -281,8 +330,8 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, dims: int, k: int = 5,
             part = right.slice(i, block)
             ids = pa.concat_arrays([qid, part["id"].combine_chunks()])
             x = _unit(np.concatenate((_matrix(qv, dims), _matrix(part["v"].combine_chunks(), dims))))
-            code = ids.dictionary_encode().indices.to_numpy()
-            q, o, s = _compare(x, code, np.arange(len(qid)), len(qid) + np.arange(part.num_rows), k)[0]
+            code = _numbers(ids)
+            q, o, s = _compare(x, code, np.arange(len(qid)), len(qid) + np.arange(part.num_rows), k, both=False, precision=np.float64)[0]
             out.append(pa.table({"id": ids.take(pa.array(q)), "other": ids.take(pa.array(o)), "similarity": pa.array(s)}))
         return pa.concat_tables(out) if out else empty
 

@@ -27,6 +27,14 @@ def test_out_is_the_rest_of_a_hot_contributor(spark):
         assert max(Counter(r.a for r in kept.select("a").collect()).values()) == 5
 
 
+def test_repeated_rows_and_null_idents_are_kept_or_out(spark):
+    df = spark.createDataFrame([("x", "1", 1.0)] * 5 + [("y", None, 1.0)] * 4 + [("y", "2", 1.0), ("z", "3", 2.0), ("z", "4", 1.0), ("z", "4", 1.0), ("z", "4", 1.0), ("z", "5", 0.0)], "a string, id string, score double")
+    kept = Counter((r.a, r.id) for r in capping.reservoir(df, ["a"], "id", "score", 3).collect())
+    out = Counter((r.a, r.id) for r in capping.left_out(df, ["a"], "id", "score", 3).collect())
+    assert out == {("x", "1"): 2, ("y", None): 1, ("y", "2"): 1, ("z", "4"): 1, ("z", "5"): 1}
+    assert kept + out == Counter((r.a, r.id) for r in df.collect())
+
+
 def test_draws_follow_weights(spark):
     df = spark.range(3).selectExpr("1 AS q", "'x' AS a", "cast(id AS string) AS id", "ln(cast(id + 1 AS double)) AS score")
     won = Counter()

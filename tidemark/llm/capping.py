@@ -56,17 +56,29 @@ def left_out(df: DataFrame, contributor: Sequence[str], ident: str, score: str,
     Instead of ranking a whole contributor in one task, the reservoir's last
     key becomes the contributor's threshold; a record is out if it lies behind
     it.  The threshold join is an ordinary equi-join, which AQE splits where a
-    contributor is hot.
+    contributor is hot.  Of the records at the threshold, which differ in
+    neither key nor ident, as many are out as the reservoir doesn't hold.
+    Null idents come first, as in the reservoir.
     """
-    full = reservoir(df, contributor, ident, score, cap, temperature, seed).where(F.col("race_rank") == cap)
-    bound = full.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(contributor)), F.col("race").alias("_race"), F.col(ident).alias("_ident"))
+    kept = reservoir(df, contributor, ident, score, cap, temperature, seed)
+    names = [f"_c{i}" for i in range(len(contributor))]
+    edge = F.struct(F.col("race").alias("race"), F.col(ident).alias("ident"))
+    per = kept.select(*(F.col(c).alias(n) for c, n in zip(contributor, names, strict=True)), "race_rank", edge.alias("_edge"))
+    # at most cap rows of a contributor
+    held = per.groupBy(*names).agg(F.max_by("_edge", "race_rank").alias("_last"), F.max("race_rank").alias("_full"), F.collect_list("_edge").alias("_all"))
+    bound = held.where(F.col("_full") == cap).select(*names, F.col("_last.race").alias("_race"), F.col("_last.ident").alias("_ident"), F.size(F.filter("_all", lambda e: e.eqNullSafe(F.col("_last")))).alias("_held"))
     keyed = df.withColumn("race", race_key(F.col(score), F.col(ident), temperature, seed))
-    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(contributor)]
-    behind = (F.col("race") < F.col("_race")) | ((F.col("race") == F.col("_race")) & (F.col(ident) > F.col("_ident")))
-    on = behind
-    for s in same:
-        on = on & s
-    return keyed.join(bound, on).drop("_race", "_ident", *(f"_c{i}" for i in range(len(contributor))))
+    on = F.lit(True)
+    for c, n in zip(contributor, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    later = (F.col(ident).isNotNull() & F.col("_ident").isNull()) | F.coalesce(F.col(ident) > F.col("_ident"), F.lit(False))
+    behind = (F.col("race") < F.col("_race")) | ((F.col("race") == F.col("_race")) & later)
+    level = (F.col("race") == F.col("_race")) & F.col(ident).eqNullSafe(F.col("_ident"))
+    joined = keyed.join(bound, on & (behind | level))
+    out = joined.where(behind)
+    w = Window.partitionBy(*names).orderBy(F.lit(0))
+    again = joined.where(level).withColumn("_n", F.row_number().over(w)).where(F.col("_n") > F.col("_held")).drop("_n")
+    return out.unionByName(again).drop("_race", "_ident", "_held", *names)
 
 
 def cap_by_share(df: DataFrame, within: Sequence[str], contributor: Sequence[str], ident: str, score: str, share: float, temperature: float = 0.0, seed: int = 0) -> DataFrame:

@@ -16,11 +16,17 @@ SETTINGS = {
 }
 
 
-def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with these settings; conf (dots as double underscores) overrides them."""
+def session(master: str | None = None, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session with these settings; conf (dots as double underscores) overrides them.
+
+    checkpoint_dir is the folder all executors share, for intermediate tables;
+    on a cluster it must be given here or in the cluster's own settings.
+    """
     b = SparkSession.builder.appName("tidemark")
     if master:
         b = b.master(master)
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()

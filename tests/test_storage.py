@@ -13,14 +13,11 @@ def test_a_cluster_must_name_a_shared_folder():
     assert storage.own_dir("local[2]").startswith("file://")
 
 
-def test_the_named_folder_is_used_and_tables_are_discarded(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        made = storage.materialize(spark.range(3), "three")
-        assert rows(made) == [(0,), (1,), (2,)]
-        folder = made._tidemark_path.removeprefix("file://")
-        assert folder.startswith(str(tmp_path)) and os.path.isdir(folder)
-        storage.discard(made)
-        assert not os.path.exists(folder)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_the_named_folder_is_used_and_tables_are_discarded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "named_dir", lambda _: f"file://{tmp_path}/")
+    made = storage.materialize(spark.range(3), "three")
+    assert rows(made) == [(0,), (1,), (2,)]
+    folder = made._tidemark_path.removeprefix("file://")
+    assert folder.startswith(str(tmp_path)) and os.path.isdir(folder)
+    storage.discard(made)
+    assert not os.path.exists(folder)

@@ -62,3 +62,11 @@ def test_groups(spark):
     got = {r.id: (r["group"], r.links) for r in neardup.near_duplicate_groups(df, "id", "text", 0.8).collect()}
     assert {got[i][0] for i in "1234"} == {got["1"][0]} and got["9"][0] != got["1"][0] and "5" not in got
     assert got["9"][1] == 0 and got["3"][1] == 2
+
+
+def test_words_of_either_script(spark):
+    """A word of look-alikes alone is the same word in texts of more Latin or more Cyrillic letters, in either case."""
+    base = "я спросил у них про вот это и ответа не было"
+    names = "Pihadothstrand Zitrastind"
+    df = spark.createDataFrame([("1", base), ("2", f"{base} {names}"), ("3", f"{base.replace(' у ', ' y ').replace('вот', 'BOT')} {names}")], "id string, text string")
+    assert rows(neardup.near_duplicate_pairs(df, "id", "text", 0.8)) == [("1", "2"), ("1", "3"), ("2", "3")]

@@ -12,7 +12,8 @@ needs only its first ``n - ceil(2t / (1 + t) n) + 1`` words, the larger one its
 first ``n - ceil(t n) + 1``; so words that every text of a kind has stay out of
 the smaller role and no word gathers a quadratic number of candidates.
 
-Equal word sets are one class: classes are joined, ids only belong to them.
+Equal word sets are one class: classes are numbered and joined, ids only belong
+to them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize
 
 #: Buckets of the table of word frequencies that orders the words: the size of what is broadcast (8 bytes each).
 BUCKETS = 1 << 18
@@ -87,6 +88,14 @@ def word_sets(df: DataFrame, ident: str, text: str, min_words: int) -> DataFrame
     return rows.mapInArrow(run, "id string, c1 bigint, c2 bigint, words binary")
 
 
+def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (k, c1, c2, words) of the classes, numbered, and (id, k) of their distinct members; sets is discarded."""
+    classes = materialize(sets.select("c1", "c2", "words").dropDuplicates(["c1", "c2"]).withColumn("k", F.monotonically_increasing_id()), "classes")
+    members = materialize(sets.select("id", "c1", "c2").distinct().join(classes.select("c1", "c2", "k"), ["c1", "c2"]).select("id", "k"), "members")
+    discard(sets)
+    return classes, members
+
+
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """How often words of each bucket occur, over all rows; BUCKETS numbers."""
 
@@ -109,7 +118,7 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 
 
 def _prefix_rows(classes: DataFrame, frequency, t: float, smaller: bool) -> DataFrame:
-    """(word, c1, c2, n, pos, b, c) for each prefix word under the first order, in one of the two roles.
+    """(word, k, n, pos, b, c) for each prefix word under the first order, in one of the two roles.
 
     b and c are masks of the class's prefix words under the two other orders.
     """
@@ -119,7 +128,7 @@ def _prefix_rows(classes: DataFrame, frequency, t: float, smaller: bool) -> Data
 
         freq = frequency.value
         for batch in batches:
-            v, rows = _sets_of(batch.column(2))
+            v, rows = _sets_of(batch.column(1))
             if len(v) == 0:
                 continue
             n = np.diff(rows)
@@ -138,26 +147,25 @@ def _prefix_rows(classes: DataFrame, frequency, t: float, smaller: bool) -> Data
             first = place < prefix[row]
             sel, r, p = order[first], row[first], place[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v[sel].view(np.int64)), pa.array(np.asarray(batch.column(0))[r]), pa.array(np.asarray(batch.column(1))[r]), pa.array(n[r].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(masks[0][r]), pa.array(masks[1][r])],
-                ["word", "c1", "c2", "n", "pos", "b", "c"],
+                [pa.array(v[sel].view(np.int64)), pa.array(np.asarray(batch.column(0))[r]), pa.array(n[r].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(masks[0][r]), pa.array(masks[1][r])],
+                ["word", "k", "n", "pos", "b", "c"],
             )
 
-    return classes.select("c1", "c2", "words").mapInArrow(run, "word bigint, c1 bigint, c2 bigint, n int, pos int, b bigint, c bigint")
+    return classes.select("k", "words").mapInArrow(run, "word bigint, k bigint, n int, pos int, b bigint, c bigint")
 
 
 def candidates(classes: DataFrame, t: float) -> DataFrame:
-    """Distinct (x1, x2, y1, y2): class pairs, the first no smaller, that pass the filters under all orders."""
+    """Distinct (x, y): class pairs, the first no smaller, that pass the filters under all orders."""
     freq = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
     large, small = _prefix_rows(classes, freq, t, smaller=False), _prefix_rows(classes, freq, t, smaller=True)
-    x = large.select("word", F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("b").alias("xb"), F.col("c").alias("xc"))
-    y = small.select("word", F.col("c1").alias("y1"), F.col("c2").alias("y2"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("b").alias("yb"), F.col("c").alias("yc"))
+    x = large.select("word", F.col("k").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("b").alias("xb"), F.col("c").alias("xc"))
+    y = small.select("word", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("b").alias("yb"), F.col("c").alias("yc"))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("xn") + F.col("yn")) - 1e-9)
-    other = (F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2"))
-    once = (F.col("xn") > F.col("yn")) | (F.col("x1") > F.col("y1")) | ((F.col("x1") == F.col("y1")) & (F.col("x2") > F.col("y2")))
+    once = (F.col("xn") > F.col("yn")) | (F.col("x") > F.col("y"))
     size = (F.col("xn") >= F.col("yn")) & (F.col("yn") >= F.col("xn") * t - 1e-9)
     place = (F.col("xp") <= F.col("xn") - need) & (F.col("yp") <= F.col("yn") - need)
     masks = (F.col("xb").bitwiseAND(F.col("yb")) != 0) & (F.col("xc").bitwiseAND(F.col("yc")) != 0)
-    return x.join(y, "word").where(other & once & size & masks & place).select("x1", "x2", "y1", "y2").distinct()
+    return x.join(y, "word").where((F.col("x") != F.col("y")) & once & size & masks & place).select("x", "y").distinct()
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -174,19 +182,17 @@ def _similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
     return shared / np.maximum(na + nb - shared, 1)
 
 
-def class_links(sets: DataFrame, t: float = 0.7) -> DataFrame:
-    """(x1, x2, y1, y2, similarity): the pairs of different classes with similarity >= t."""
-    classes = sets.select("c1", "c2", "words").dropDuplicates(["c1", "c2"])
+def class_links(classes: DataFrame, t: float = 0.7) -> DataFrame:
+    """(x, y, similarity): the pairs of different classes (k, words) with similarity >= t."""
 
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(_similarity(a, b))
 
-    words = classes.select("c1", "c2", "words")
-    x = words.select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("words").alias("xw"))
-    y = words.select(F.col("c1").alias("y1"), F.col("c2").alias("y2"), F.col("words").alias("yw"))
-    pairs = candidates(classes, t).join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
-    return pairs.withColumn("similarity", jaccard("xw", "yw")).where(F.col("similarity") >= t - 1e-12).select("x1", "x2", "y1", "y2", "similarity")
+    x = classes.select(F.col("k").alias("x"), F.col("words").alias("xw"))
+    y = classes.select(F.col("k").alias("y"), F.col("words").alias("yw"))
+    pairs = candidates(classes, t).join(x, "x").join(y, "y")
+    return pairs.withColumn("similarity", jaccard("xw", "yw")).where(F.col("similarity") >= t - 1e-12).select("x", "y", "similarity")
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str, text: str, t: float = 0.7, min_words: int = 8) -> DataFrame:
@@ -198,12 +204,11 @@ def near_duplicate_pairs(df: DataFrame, ident: str, text: str, t: float = 0.7, m
     """
     if not 0 < t <= 1 or min_words < 1:
         raise ValueError("0 < t <= 1 and min_words >= 1")
-    sets = materialize(word_sets(df, ident, text, min_words), "wordsets")
-    member = sets.select("id", "c1", "c2").distinct()
-    x = member.select(F.col("id").alias("a"), F.col("c1").alias("x1"), F.col("c2").alias("x2"))
-    y = member.select(F.col("id").alias("b"), F.col("c1").alias("y1"), F.col("c2").alias("y2"))
-    across = class_links(sets, t).join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).select("a", "b")
-    inside = x.join(y, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).where("a < b").select("a", "b")
+    classes, members = classes_of(materialize(word_sets(df, ident, text, min_words), "wordsets"))
+    a = members.select(F.col("id").alias("a"), F.col("k").alias("x"))
+    b = members.select(F.col("id").alias("b"), F.col("k").alias("y"))
+    across = class_links(classes, t).join(a, "x").join(b, "y").select("a", "b")
+    inside = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b")
     both = across.where("a <> b").unionByName(inside)
     return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
@@ -216,11 +221,11 @@ def near_duplicate_groups(df: DataFrame, ident: str, text: str, t: float = 0.7,
     """
     from tidemark.operators.graph import connected_components
 
-    sets = materialize(word_sets(df, ident, text, min_words), "wordsets")
-    name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
-    links = materialize(class_links(sets, t).select(name("x1", "x2").alias("x"), name("y1", "y2").alias("y")), "links")
-    count = links.select(F.explode(F.array("x", "y")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    groups = connected_components(links, "x", "y").select(F.col("node").alias("class"), F.col("component").alias("group"))
-    member = sets.select("id", name("c1", "c2").alias("class")).distinct()
-    out = member.join(count.join(groups, "class"), "class", "left")
+    classes, members = classes_of(materialize(word_sets(df, ident, text, min_words), "wordsets"))
+    links = materialize(class_links(classes, t).select("x", "y"), "links")
+    count = links.select(F.explode(F.array("x", "y")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
+    name = F.concat(F.hex("c1"), F.lit("-"), F.hex("c2"))
+    named = classes.select("k", name.alias("class")).join(connected_components(links, "x", "y").select(F.col("node").alias("k"), "component"), "k", "left")
+    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("class").alias("group"))
+    out = members.join(named.join(first, "component", "left"), "k").join(count, "k", "left")
     return out.select("id", "class", F.coalesce("group", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

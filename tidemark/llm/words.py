@@ -1,11 +1,14 @@
 """Words of whole Arrow batches as 64-bit hashes, without per-row string calls.
 
 A word is a run of letters and digits; a combining mark behind one belongs to
-it.  Letter case is ignored.
+it.  Letter case is ignored.  A word of letters that all look like ones of
+another script, in either case, reads as both: it is taken as written in Latin,
+so that it is the same word in every text, whatever stands around it.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +31,29 @@ def lower_table() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _either() -> tuple[np.ndarray, np.ndarray]:
+    """By lower-case code point: whether it may stand in a word of either script, and the letter it is taken as then."""
+    t = tf.tables()
+    low = lower_table()
+    latin = np.arange(tf._SIZE, dtype=np.uint32)
+    both = (t.kind != tf.LETTER).copy()
+    same: dict[str, str] = {}  # by lower case, of look-alikes of either case
+    for cp in np.flatnonzero(t.cyrillic != np.arange(tf._SIZE)).tolist():
+        same[chr(low[t.cyrillic[cp]])] = chr(low[cp])
+    for letter, as_latin in same.items():
+        latin[ord(letter)] = ord(as_latin)
+        both[[ord(letter), ord(as_latin)]] = True
+    for cp in range(0xC0, 0x530):  # the same letters with an accent
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        if marks and (base in same or base in same.values()):
+            made = unicodedata.normalize("NFC", same.get(base, base) + "".join(marks))
+            if len(made) == 1:
+                latin[cp] = ord(made)
+                both[cp] = True
+    return both, latin
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -78,8 +104,12 @@ def word_hashes(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = ends - starts
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
     place = (at - np.repeat(starts, size)) & 0xFFFF
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    low = lower_table()[cps[at]]
+    both, latin = _either()
+    low = np.where(np.repeat(np.logical_and.reduceat(both[low], first), size), latin[low], low)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_letters()[lower_table()[cps[at]]] * _powers()[place], np.concatenate(([0], np.cumsum(size)[:-1])))
+        h = np.add.reduceat(_letters()[low] * _powers()[place], first)
         return mix(h + size.astype(np.uint64) * _BASE), rows
 
 

@@ -36,7 +36,7 @@ from tidemark.storage import materialize
 #: Hash tables; perturbed buckets a vector visits in each; width of a bucket in standard deviations of unit vectors' projections.
 TABLES, PROBES, WIDTH = 2, 2, 2.0
 #: Most members of a role in one cell of a bucket; products held at once.
-BLOCK, PRODUCTS = 16384, 1 << 22
+BLOCK, PRODUCTS = 32768, 1 << 22
 #: Rows of the table of crowded buckets up to which it is broadcast (24 bytes each).
 BROADCAST_ROWS = 200_000
 _EXTRA = 3  # candidates kept beyond k in single precision before the exact cosine

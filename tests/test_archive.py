@@ -86,7 +86,10 @@ def test_markdown(spark, tmp_path):
     got = archive.sections(files).orderBy("seq").collect()
     assert [(r.tweet_id, r.handle) for r in got] == [("1001", "ann"), ("7", "bob")]
     assert got[0].text == "**Ann**\n\ntext one\n\n\n---"
-    assert archive.month_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        archive.month_files(spark, str(tmp_path / "none"))
+    (tmp_path / "void").mkdir()
+    assert archive.month_files(spark, str(tmp_path / "void")).count() == 0
     months = P.list_months(files, frame(spark, post("1", created="Wed Jan 01 00:00:00 +0000 2025"))).collect()
     assert [(r.year_month, r.tweet_count) for r in months] == [("2025-02", None), ("2025-01", 1)]
 
@@ -170,9 +173,7 @@ def test_page_stream(spark, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
 
     def run():
-        q = ingest.new_posts(ingest.read_pages(spark, str(folder), 1)).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(processingTime="0 seconds").start()
-        q.processAllAvailable()
-        q.stop()
+        ingest.new_posts(ingest.read_pages(spark, str(folder), 1), out, check).awaitTermination()
         return rows(spark.read.parquet(out), "id")
 
     assert run() == [("1",), ("2",), ("3",)]

@@ -62,8 +62,9 @@ def test_allowlist(spark):
     urls = spark.createDataFrame([("https://A.example/x",), ("http://b.example",), ("ftp://c",)], "url string")
     resolved = spark.createDataFrame([("a.example", "10.0.0.1", 0), ("a.example", "8.8.8.8", 1), ("b.example", "127.0.0.1", 0)], "host string, ip string, place int")
     assert rows(network.pinned(urls, resolved)) == [("https://A.example/x", "a.example", "8.8.8.8")]
-    df = spark.createDataFrame([(["8.8.8.8"], "text/html; charset=x"), (["8.8.8.8", "10.0.0.1"], "text/html"), (["8.8.8.8"], "image/png"), (["8.8.8.8"] * 5, "text/html"), (None, "text/html")], "h array<string>, t string")
-    assert [r[0] for r in df.select(network.chain_allowed(df.h, df.t)).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([(["8.8.8.8"], "text/html; charset=x"), (["8.8.8.8", "10.0.0.1"], "text/html"), (["8.8.8.8"], "image/png"), (["8.8.8.8"] * 5, "text/html"), (None, "text/html"), ([None, "8.8.8.8"], "text/html")], "h array<string>, t string")
+    got = network.chain_allowed(spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(df.collect())], "k int, h array<string>, t string"), "k", "h", "t")
+    assert [a for _, a in rows(got)] == [True, False, False, False, False, False]
 
 
 def test_fetch(spark):

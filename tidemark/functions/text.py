@@ -18,7 +18,8 @@ NEUTRAL = "[FENCE]"
 
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"(?U)\s+"
-_ANSI = r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)|[@-_])"
+#: Fixed value: terminal sequences.
+ANSI = r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)|[@-_])"
 _CONTROL = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
 _FORMAT = r"[​-‏‪-‮⁠⁦-⁩﻿]"
 _SHORT_LINK = r"https?://t\.co/\S+"
@@ -51,7 +52,7 @@ def nfkc(text: Column) -> Column:
 def sanitized(text: Column) -> Column:
     """Text safe to show: NFKC, then no terminal sequences, control characters (but line break and tab) or invisible marks; null becomes ''."""
     out = nfkc(F.coalesce(text, F.lit("")))
-    for pattern in (_ANSI, _CONTROL, _FORMAT):
+    for pattern in (ANSI, _CONTROL, _FORMAT):
         out = F.regexp_replace(out, pattern, "")
     return out
 
@@ -110,9 +111,19 @@ def byte_cut(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*tries))
 
 
+def _bare(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(sanitized(text), _SHORT_LINK, ""), _SPACE, " "))
+
+
+def with_raw_links(text: Column, urls: Column) -> Column:
+    """Text without short links, followed by its resolved URLs as they are, blank ones left out."""
+    raw = F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.trim(u) != "")
+    return F.array_join(F.filter(F.concat(F.array(_bare(text)), raw), lambda x: x != ""), " ")
+
+
 def expanded_links(text: Column, urls: Column, distinct: bool = True) -> Column:
     """Text without short links, followed by its safe resolved URLs (each once if distinct)."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(sanitized(text), _SHORT_LINK, ""), _SPACE, " "))
+    clean = _bare(text)
     # one pass over all URLs of a row: line breaks survive sanitising and never stand in a URL
     listed = F.filter(F.transform(F.split(sanitized(F.array_join(urls, "\n")), "\n"), F.trim), lambda u: F.lower(u).rlike("^https?://"))
     listed = F.array_distinct(listed) if distinct else listed
@@ -133,6 +144,11 @@ def status_url(handle: Column, ident: Column) -> Column:
     return F.when(F.coalesce(ident.rlike(r"^[0-9]+$"), F.lit(False)), F.when(F.coalesce(handle.rlike(r"^[A-Za-z0-9_]{1,15}$"), F.lit(False)), named).otherwise(plain)).otherwise(F.lit(""))
 
 
+def plain_url(handle: Column, ident: Column) -> Column:
+    """The post's address as an export writes it: handle and id as they are, absent ones empty."""
+    return F.concat(F.lit("https://x.com/"), F.coalesce(handle, F.lit("")), F.lit("/status/"), F.coalesce(ident, F.lit("")))
+
+
 def node_id(kind: str, value: Column) -> Column:
     """Graph node ids: kind and normalised value."""
     if kind == "handle":

@@ -21,6 +21,7 @@ many much less lots
 KINDS = ("handle", "hashtag", "domain", "concept")
 #: A concept must occur twice in texts of at least this length.
 SHORT = 50
+#: Fixed value: a capitalised word.
 _CAPITAL = r"(?:[A-Z][a-z]+|[A-Z]{2,})"
 _RUN = rf"(?U)\b{_CAPITAL}(?:\s+{_CAPITAL})*\b"
 

@@ -89,6 +89,36 @@ def neighbors(graph: Graph, ident: str, kind: str | None = None, reverse: bool =
     return graph.nodes.join(some.select("query_id", F.col(far).alias("id")).distinct(), ["query_id", "id"], "left_semi")
 
 
+def all_neighbors(graph: Graph, kind: str | None = None) -> DataFrame:
+    """(query_id, id, near, kind): the distinct nodes that each node's edges (of a kind) lead to, with their kinds."""
+    edges = graph.edges if kind is None else graph.edges.where(F.col("kind") == kind)
+    far = graph.nodes.select("query_id", F.col("id").alias("near"), "kind")
+    return edges.select("query_id", F.col("src").alias("id"), F.col("dst").alias("near")).distinct().join(far, ["query_id", "near"]).select("query_id", "id", "near", "kind")
+
+
+def relevant(graph: Graph, keep: DataFrame | None) -> Graph:
+    """The graph without the entities that a filter's answer (query_id, id) leaves out.
+
+    Queries and posts always stay; a query of which the filter says nothing, or
+    that has at most one entity, keeps all.
+    """
+    if keep is None:
+        return graph
+    entity = F.col("kind").isin(list(entities.KINDS))
+    asked = keep.select("query_id").distinct().withColumn("_asked", F.lit(True))
+    many = graph.nodes.where(entity).groupBy("query_id").agg((F.count("*") > 1).alias("_many"))
+    good = keep.select("query_id", "id").distinct().withColumn("_good", F.lit(True))
+    marked = graph.nodes.join(asked, "query_id", "left").join(many, "query_id", "left").join(good, ["query_id", "id"], "left")
+    stays = ~entity | F.col("_asked").isNull() | ~F.coalesce("_many", F.lit(False)) | F.coalesce("_good", F.lit(False))
+    return kept(graph, marked.where(stays).select("query_id", "id"))
+
+
+def mindmap(graph: Graph, per_kind: int = 8, least: float = 2.0) -> DataFrame:
+    """(query_id, kind, place, label): the nodes of each search's mind map: the first per_kind of each kind, then those that weigh enough."""
+    some = top_entities(graph.nodes, n=per_kind).where(F.col("weight") >= least)
+    return some.select("query_id", "kind", "place", text.mindmap_label(F.col("label")).alias("label"))
+
+
 def kept(graph: Graph, allowed: DataFrame) -> Graph:
     """The graph of allowed (query_id, id) nodes, and of edges with both ends kept."""
     nodes = graph.nodes.join(allowed, ["query_id", "id"], "left_semi")
@@ -114,10 +144,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     logarithm of the diameter.  No component is ever collected, and a hot node's
     edges are only grouped to their least neighbour.
     """
-    from tidemark.storage import materialize
+    from tidemark.storage import discard, materialize
 
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # edges are distinct, so their number and two sums of hashes tell whether a round changed them
+    state = lambda df: df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (1, 2)]).first()
+    now = state(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -125,7 +158,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = materialize(small, "edges")
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            break
+        before, now = now, state(new)
+        discard(e)
         e = new
+        if now == before:
+            break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

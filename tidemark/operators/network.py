@@ -40,30 +40,61 @@ def verdict(ip: str | None, allowlist: Sequence[str] = ()) -> str:
     return "open"
 
 
-def blocked(ip: Column, allowlist: Sequence[str] = ()) -> Column:
-    """Whether an address must not be connected to; text that is no address is blocked."""
+#: IPv4 networks that are never connected to, and private ones (unless allowed), less the public parts inside.
+NEVER_V4 = ("0.0.0.0/32", "127.0.0.0/8", "169.254.169.254/32", "192.0.0.192/32", "224.0.0.0/3")
+PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24")
+PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+_QUAD = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$"
 
-    @F.arrow_udf("boolean")
-    def run(arr):
-        import pyarrow as pa
 
-        known = {x: verdict(x, allowlist) != "open" for x in set(arr.to_pylist())}
-        return pa.array([known[x] for x in arr.to_pylist()], pa.bool_())
+def number_v4(ip: Column) -> Column:
+    """The number of a dotted IPv4 address, null for other text."""
+    part = [F.regexp_extract(ip, _QUAD, i).try_cast("bigint") for i in range(1, 5)]
+    good = ip.rlike(_QUAD) & (F.greatest(*part) <= 255)
+    return F.when(good, ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3])
 
-    return run(ip)
+
+def _within(number: Column, networks: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for n in map(ipaddress.ip_network, networks):
+        if n.version == 4:
+            out = out | number.between(int(n[0]), int(n[-1]))
+    return out
 
 
-def chain_allowed(hops: Column, final_type: Column, allowlist: Sequence[str] = (), most: int = MAX_HOPS) -> Column:
-    """Whether a chain of redirects (an array of addresses) stays short and allowed and ends in a readable type."""
+def address_verdict(ip: Column, allowlist: Sequence[str] = ()) -> Column:
+    """The verdict of a column: IPv4 by comparison of numbers; other text in Arrow batches, each distinct one once."""
 
-    @F.arrow_udf("boolean")
-    def run(arr):
+    @F.arrow_udf("string")
+    def other(arr):
         import pyarrow as pa
 
-        return pa.array([bool(x) and len(x) <= most + 1 and all(verdict(i, allowlist) == "open" for i in x) for x in arr.to_pylist()], pa.bool_())
+        known = {x: verdict(x, allowlist) for x in set(arr.to_pylist()) if x is not None}
+        return pa.array([known.get(x) for x in arr.to_pylist()], pa.string())
+
+    n = number_v4(ip)
+    private = _within(n, PRIVATE_V4) & ~_within(n, PUBLIC_V4) & ~_within(n, allowlist)
+    v4 = F.when(_within(n, NEVER_V4), "never").when(private, "private").otherwise("open")
+    return F.when(n.isNotNull(), v4).otherwise(F.coalesce(other(F.when(n.isNull() & ip.contains(":"), ip)), F.lit("never")))
+
+
+def blocked(ip: Column, allowlist: Sequence[str] = ()) -> Column:
+    """Whether an address must not be connected to; text that is no address is blocked."""
+    return address_verdict(ip, allowlist) != "open"
+
+
+def chain_allowed(chains: DataFrame, key: str, hops: str, final_type: str, allowlist: Sequence[str] = (), most: int = MAX_HOPS) -> DataFrame:
+    """(key, allowed): whether each chain of redirects (an array of addresses) stays short and allowed and ends in a readable type.
 
-    kind = F.lower(F.trim(F.split(F.coalesce(final_type, F.lit("")), ";")[0]))
-    return run(hops) & kind.isin(list(CONTENT_TYPES))
+    Keys must be distinct; each distinct address is judged once.
+    """
+    kind = F.lower(F.trim(F.split(F.coalesce(F.col(final_type), F.lit("")), ";")[0]))
+    length = F.coalesce(F.size(hops), F.lit(0))
+    shaped = chains.select(key, hops, ((length > 0) & (length <= most + 1) & kind.isin(list(CONTENT_TYPES))).alias("_shape"))
+    each = shaped.where("_shape").select(key, F.explode(hops).alias("_ip"))
+    judged = each.select("_ip").distinct().withColumn("_bad", blocked(F.col("_ip"), allowlist))
+    bad = each.join(judged, each["_ip"].eqNullSafe(judged["_ip"])).where("_bad").select(key).distinct().withColumn("_some", F.lit(True))
+    return shaped.join(bad, key, "left").select(key, (F.col("_shape") & F.col("_some").isNull()).alias("allowed"))
 
 
 def pinned(urls: DataFrame, resolved: DataFrame, allowlist: Sequence[str] = ()) -> DataFrame:

@@ -90,10 +90,18 @@ def flat(posts: DataFrame) -> DataFrame:
         _size_positive("hashtags").alias("hashtag_count"),
         F.coalesce(F.array_join("hashtags", ","), F.lit("")).alias("hashtags"),
         _size_positive("mentions").alias("mention_count"),
-        text.status_url(F.col("author.screen_name"), F.col("id")).alias("tweet_url"),
+        text.plain_url(F.col("author.screen_name"), F.col("id")).alias("tweet_url"),
     )
 
 
+def extremes(posts: DataFrame, count: str = "favorite_count", top: int = 5) -> DataFrame:
+    """(place, id, count, least, most): the top posts by a count, ties by smaller id, with the count's extremes over all posts."""
+    ends = posts.agg(F.min(count).alias("least"), F.max(count).alias("most")).first()
+    best = posts.where(F.col(count).isNotNull()).select("id", F.col(count).alias("count")).orderBy(F.desc("count"), "id").limit(top)  # a top-k report
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "id"))
+    return best.select(place.alias("place"), "id", "count", F.lit(ends.least).cast("bigint").alias("least"), F.lit(ends.most).cast("bigint").alias("most"))
+
+
 def read_post(posts: DataFrame, ident: str) -> DataFrame:
     """The up to nine fields shown of one post as JSON; fields that are empty, 0 or null are left out."""
     full = lambda c: F.when((c != "") & (c.cast("string") != "0"), c)

@@ -12,11 +12,11 @@ from dataclasses import dataclass, field
 import re
 from collections import defaultdict
 
-from tidemark.functions.text import FENCES, NEUTRAL
+from tidemark.functions.text import ANSI, FENCES, NEUTRAL
 
 SHAPES = ("brief", "synthesis", "trend")
 CATEGORIES = (("Handles", "handle"), ("Hashtags", "hashtag"), ("Domains", "domain"), ("Concepts", "concept"))
-_ANSI = re.compile(r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-_])")
+_ANSI = re.compile(ANSI)
 _DROP = {c: None for c in [*range(0, 9), *range(11, 32), *range(127, 160), *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF]}
 
 

@@ -8,10 +8,11 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import ordering, reports
 
 CHUNK, WHY, PROMPT = 30, 240, 280
 _WRAPPERS = ("hits", "results", "tweets", "data")
@@ -50,22 +51,43 @@ def valid_hits(value, ids: set[str]) -> list[tuple[str, float, str]]:
     return out
 
 
+def answered(answers: DataFrame, keys: list[str], answer: str, ids: str) -> DataFrame:
+    """(*keys, id, relevance, why): the validated hits of answers (text) to questions about ids (an array); an unreadable answer gives none."""
+    fields = ", ".join(f"`{k}` {answers.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for b in batches:
+            at, hits = [], []
+            for i, (raw, known) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
+                try:
+                    some = valid_hits(parse_answer(raw), set(known or ()))
+                except ValueError:
+                    continue
+                at += [i] * len(some)
+                hits += some
+            cols = list(zip(*hits, strict=True)) if hits else [()] * 3
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), *(pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True))], [*keys, "id", "relevance", "why"])
+
+    return answers.select(*keys, answer, ids).mapInArrow(run, f"{fields}, id string, relevance double, why string")
+
+
 def chunks(sections: DataFrame, months: list[str] | None = None, size: int = CHUNK) -> DataFrame:
     """(year_month, chunk, prompt_part, ids): sections (year_month, seq, tweet_id, handle, text) in chunks of each month, in order.
 
     months restricts and is not reordered here; an order is a column's matter.
     """
     some = sections if months is None else sections.where(F.col("year_month").isin(months))
-    place = F.row_number().over(Window.partitionBy("year_month").orderBy("seq")) - 1
     line = F.concat(F.lit("[id="), F.col("tweet_id"), F.lit("] @"), text.sanitized(F.col("handle")), F.lit(": "), text.fenced(text.flat_cut(F.col("text"), PROMPT), "tweet"))
-    rows = some.withColumn("chunk", F.floor(place / size).cast("int")).withColumn("line", line)
+    placed = ordering.numbered(some.select("year_month", "seq", "tweet_id", "handle", "text"), ["year_month"], ["seq", "tweet_id"])
+    rows = placed.withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("int")).withColumn("line", line)
     # a chunk has at most `size` rows
-    got = F.array_sort(F.collect_list(F.struct("seq", "tweet_id", "line")))
+    got = F.array_sort(F.collect_list(F.struct("place", "tweet_id", "line")))
     return rows.groupBy("year_month", "chunk").agg(got.alias("g")).select("year_month", "chunk", F.array_join(F.transform("g", lambda x: x["line"]), "\n").alias("prompt_part"), F.transform("g", lambda x: x["tweet_id"]).alias("ids"))
 
 
 def prompt(query: str, part: str) -> str:
-    return f"Query: {query}\n\nTweets:\n{part}\n\nReturn the relevant tweets as JSON: a list of id, relevance from 0 to 1, and why."
+    return f"Query: {reports.clean(query)}\n\nTweets:\n{part}\n\nReturn the relevant tweets as JSON: a list of id, relevance from 0 to 1, and why."
 
 
 def walk(sections: DataFrame, query: str, call: Callable[[str], str], months: list[str] | None = None, size: int = CHUNK) -> DataFrame:
@@ -73,20 +95,14 @@ def walk(sections: DataFrame, query: str, call: Callable[[str], str], months: li
 
     def run(batches):
         for b in batches:
-            rows = []
-            for m, c, part, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                try:
-                    hits = valid_hits(parse_answer(call(prompt(query, part))), set(ids))
-                except ValueError:
-                    hits = []
-                rows += [(m, c, *h) for h in hits]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string()), strict=True)], ["year_month", "chunk", "id", "relevance", "why"])
+            said = [call(prompt(query, part)) for part in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), b.column(3)], ["year_month", "chunk", "answer", "ids"])
 
-    return chunks(sections, months, size).mapInArrow(run, "year_month string, chunk int, id string, relevance double, why string")
+    asked = chunks(sections, months, size).mapInArrow(run, "year_month string, chunk int, answer string, ids array<string>")
+    return answered(asked, ["year_month", "chunk"], "answer", "ids")
 
 
-def explained(hits: DataFrame, answers: DataFrame, top: int = 20) -> DataFrame:
-    """hits (id, rnk, why, ...) with the reasons of answers (id, why) for the first ``top``; order and other hits stay."""
-    a = answers.groupBy("id").agg(F.min("why").alias("_why"))
-    return hits.join(a, "id", "left").withColumn("why", F.when(F.col("rnk") <= top, F.coalesce("_why", F.col("why"))).otherwise(F.col("why"))).drop("_why")
+def explained(hits: DataFrame, answers: DataFrame, top: int = 20, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """hits (*keys, rnk, why, ...) with the reasons of answers (*keys, why) for the first ``top``; order and other hits stay."""
+    a = answers.groupBy(*keys).agg(F.min("why").alias("_why"))
+    return hits.join(a, list(keys), "left").withColumn("why", F.when(F.col("rnk") <= top, F.coalesce("_why", F.col("why"))).otherwise(F.col("why"))).drop("_why")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import materialize
+
 USER = "id string, screen_name string, name string, profile_image_url string, verified boolean, followers_count bigint, following_count bigint"
 MEDIA = "type string, url string, media_url string, preview_image_url string, width int, height int, local_path string"
 _POST = f"id string, text string, created_at string, user struct<{USER}>, retweet_count bigint, favorite_count bigint, reply_count bigint, quote_count bigint, view_count bigint, lang string, is_retweet boolean, is_quote boolean, media array<struct<{MEDIA}>>, urls array<string>, hashtags array<string>, mentions array<string>, conversation_id string, in_reply_to_user_id string"
@@ -20,28 +25,62 @@ class ExportError(ValueError):
     """An export that isn't what it should be."""
 
 
+def _heads(spark: SparkSession, path: str) -> list:
+    """(file, head): the first character of each file that is no blank, '' where there is none; files are opened by the tasks, not read."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            heads = []
+            for p in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(p)
+                with system.open_input_stream(at) as f:
+                    head = ""
+                    while not head and (raw := f.read(4096)):
+                        head = raw.decode("utf-8", "ignore").lstrip("\ufeff \t\r\n")[:1]
+                heads.append(head)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads, pa.string())], ["file", "head"])
+
+    return files.mapInArrow(run, "file string, head string").collect()  # one row for each file
+
+
 def load_export(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The posts of a JSON export (one array of posts to a file, or one post to a line), optional fields at their defaults.
+    """The posts of a JSON export, optional fields at their defaults.
 
-    strict counts posts without the required fields and raises ExportError if
-    there are any; else they are left out.
+    A file that begins with a bracket is one array of posts, read as a stream of
+    records; any other has one post to a line, and is split among tasks.  The
+    files are parsed once, into an intermediate table.  strict raises
+    ExportError where a file is neither, or a post lacks a required field; else
+    such posts are left out.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("content").cast("string").alias("value"))
-    if strict and (bad := raw.where("try_parse_json(value) IS NULL OR schema_of_variant(try_parse_json(value)) NOT LIKE 'ARRAY<%'").select("file").limit(1).collect()):
-        raise ExportError(f"{bad[0].file}: not a JSON array of posts")
-    if strict and raw.isEmpty():  # files of no bytes aren't read
+    heads = _heads(spark, path)
+    if strict and not any(r.head for r in heads):
         raise ExportError(f"{path}: nothing to read")
-    rows = raw.select("file", F.posexplode(F.from_json("value", f"array<struct<{POST}>>", {"mode": "PERMISSIVE"})).alias("at", "p"))
-    need = ["p.id", "p.text", "p.created_at", "p.user.id", "p.user.screen_name", "p.user.name"]
+    if strict and (bad := [r.file for r in heads if r.head not in ("[", "{", "")]):
+        raise ExportError(f"{bad[0]}: no JSON array of posts")
+    parsed = None
+    for arrays in (True, False):
+        some = [r.file for r in heads if r.head and (r.head == "[") == arrays]
+        if some:
+            rows = spark.read.schema(f"{POST}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", arrays).json(some).withColumn("file", F.col("_metadata.file_path"))
+            parsed = rows if parsed is None else parsed.unionByName(rows)
+    if parsed is None:
+        return with_defaults(spark.createDataFrame([], POST))
+    parsed = materialize(parsed.withColumn("_lacks", lacks_required()), "export")
+    if strict and (bad := parsed.where("_bad IS NOT NULL OR _lacks").select("file", "id", (F.col("_bad").isNotNull()).alias("broken")).limit(1).collect()):
+        raise ExportError(f"{bad[0].file}: " + ("not whole JSON" if bad[0].broken else f"post {bad[0].id} lacks a required field"))
+    return with_defaults(parsed.where("_bad IS NULL AND NOT _lacks").drop("_bad", "_lacks", "file"))
+
+
+def lacks_required() -> Column:
+    """Whether a post of an export lacks a field it must have."""
     lacks = F.lit(False)
-    for c in need:
+    for c in ("id", "text", "created_at", "user.id", "user.screen_name", "user.name"):
         lacks = lacks | F.col(c).isNull()
-    deep = F.exists("p.media", lambda m: m["type"].isNull() | m["url"].isNull())
-    lacks = lacks | F.coalesce(deep, F.lit(False))
-    if strict:
-        if bad := rows.where(lacks).select("file", "at").limit(1).collect():
-            raise ExportError(f"{bad[0].file}: post {bad[0].at} lacks a required field")
-    return with_defaults(rows.where(~lacks).select("p.*"))
+    deep = F.exists("media", lambda m: m["type"].isNull() | m["url"].isNull())
+    return lacks | F.coalesce(deep, F.lit(False))
 
 
 def with_defaults(posts: DataFrame) -> DataFrame:
@@ -134,9 +173,11 @@ _FILE = r"^likes_([0-9]{4}-[0-9]{2})\.md$"
 
 
 def month_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(year_month, path, markdown) of likes_YYYY-MM.md files, newest first; other files are skipped; a missing folder gives none."""
+    """(year_month, path, markdown) of likes_YYYY-MM.md files, newest first; other files are skipped; FileNotFoundError without the folder."""
     local = folder.removeprefix("file://")
-    if "://" not in local and not (os.path.isdir(local) and any(re.match(_FILE, f) for f in os.listdir(local))):
+    if "://" not in local and not os.path.isdir(local):
+        raise FileNotFoundError(folder)
+    if "://" not in local and not any(re.match(_FILE, f) for f in os.listdir(local)):
         return spark.createDataFrame([], "year_month string, path string, markdown string")
     rows = spark.read.option("pathGlobFilter", "likes_????-??.md").text(folder, wholetext=True)
     named = rows.select(F.regexp_extract(F.col("_metadata.file_name"), _FILE, 1).alias("year_month"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown"))
@@ -169,7 +210,11 @@ def sections(files: DataFrame, hosts: tuple[str, ...] = ("x.com", "twitter.com")
 
 def local_media(spark: SparkSession, folder: str) -> DataFrame:
     """(tweet_id, pos, path) of files named <id>_<pos>.<ext>; the first by name counts."""
-    rows = spark.read.format("binaryFile").load(folder).select("path")
+    return media_names(spark.read.format("binaryFile").load(folder).select("path"))
+
+
+def media_names(rows: DataFrame) -> DataFrame:
+    """The same for a table of paths; other names are skipped."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     found = rows.select(F.regexp_extract(name, r"^(.+)_([0-9]+)\.[^.]+$", 1).alias("tweet_id"), F.regexp_extract(name, r"^(.+)_([0-9]+)\.[^.]+$", 2).try_cast("int").alias("pos"), "path")
     return found.where("tweet_id <> ''").groupBy("tweet_id", "pos").agg(F.min("path").alias("path"))
@@ -201,3 +246,48 @@ def cookies(rows: DataFrame, required: tuple[str, ...] = ("ct0", "auth_token"))
     """One row (cookies, missing): a map of (seq, name, value), the last of a name winning, and required names it lacks."""
     one = rows.groupBy("name").agg(F.max_by("value", "seq").alias("value"))
     return one.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("cookies")).select("cookies", F.array_except(F.array(*map(F.lit, required)), F.map_keys("cookies")).alias("missing"))
+
+
+def demos(rows: DataFrame, value: str = "value") -> DataFrame:
+    """(query, fenced_context_raw, expected_outputs) of labelled examples, each a JSON object in a column; expected_outputs is JSON text.
+
+    Those that lack one of the three, or are no object, are left out.
+    """
+    v = F.try_parse_json(value)
+    got = rows.select(_get(v, "$.query").alias("query"), _get(v, "$.fenced_context_raw").alias("fenced_context_raw"), F.try_variant_get(v, "$.expected_outputs", "variant").alias("x"))
+    return got.where("query IS NOT NULL AND fenced_context_raw IS NOT NULL AND schema_of_variant(x) LIKE 'OBJECT<%'").select("query", "fenced_context_raw", F.to_json("x").alias("expected_outputs"))
+
+
+def load_demos(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled examples of a file that holds a JSON array of them."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("v"))
+    return demos(rows.select(F.to_json("v").alias("value")))
+
+
+def kept_table(spark: SparkSession, path: str, stamp: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table saved below path under this stamp, else one that is built and saved in its place.
+
+    The stamp says what the table was made from (such as the newest change of
+    its sources, see :func:`newest_change`, and their number).  A table is
+    written beside the old one and named in a small file last, so that readers
+    see one or the other.
+    """
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda p: system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+    current = json.loads(spark.read.text(f"{path}/current").first()[0]) if there(f"{path}/current/_SUCCESS") else {"stamp": None, "n": 0}
+    if current["stamp"] != stamp:
+        current = {"stamp": stamp, "n": current["n"] + 1}
+        build().write.mode("overwrite").parquet(f"{path}/table-{current['n']}")
+        spark.createDataFrame([(json.dumps(current),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    return spark.read.parquet(f"{path}/table-{current['n']}")
+
+
+def newest_change(spark: SparkSession, path: str) -> str:
+    """When the files of a path last changed, and how many there are: a stamp for :func:`kept_table`."""
+    r = spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").alias("t"), F.count("*").alias("n")).first()
+    return f"{r.t} {r.n}"
+
+
+def wait_seconds(remaining: Column, reset: Column, now: Column, buffer: int = 5) -> Column:
+    """Seconds to wait for an interface that allows ``remaining`` more calls until the moment ``reset``: none while more than one is left."""
+    return F.when(remaining <= 1, F.greatest(reset - now, F.lit(0)) + buffer).otherwise(F.lit(0))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.operators import ordering
 from tidemark.operators import posts as P
 
 FORMATS = ("csv", "parquet", "json", "markdown", "html", "excel")
@@ -88,29 +93,54 @@ def markdown_rows(posts: DataFrame, include_media: bool = True, base: str | None
 
 
 def write_months(posts: DataFrame, folder: str, include_media: bool = True) -> None:
-    """likes_<month>.md files (local or mounted folder): one task writes one month, line by line, and renames the file when it is whole."""
-    rows = markdown_rows(posts, include_media).repartition("year_month").sortWithinPartitions("year_month", "id")
-    target = folder.removeprefix("file://")
-    os.makedirs(target, exist_ok=True)
+    """likes_<month>.md files in a folder that all executors share.
 
-    def write(part) -> None:
-        out, month = None, None
+    Rows are range-partitioned by month and post, so a large month is written by
+    several tasks, each a piece; then the pieces of each month are joined to its
+    file, as bytes, one month to a task, and take its name when it is whole.
+    """
+    spark = posts.sparkSession
+    target = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    pieces = f"{target}/.pieces-{uuid.uuid4().hex}"
+    rows = markdown_rows(posts, include_media).repartitionByRange("year_month", "id").sortWithinPartitions("year_month", "id")
 
-        def close() -> None:
-            if out:
-                out.close()
-                os.replace(f"{target}/.likes_{month}.md", f"{target}/likes_{month}.md")
+    def write(part) -> None:
+        from pyarrow import fs
 
+        system, at = fs.FileSystem.from_uri(pieces)
+        number, out, month = TaskContext.get().partitionId(), None, None
         for r in part:
             if r.year_month != month:
-                close()
+                if out:
+                    out.close()
                 month = r.year_month
-                out = open(f"{target}/.likes_{month}.md", "w", encoding="utf-8")  # noqa: SIM115
-            out.write(r.line + "\n")
-        close()
+                system.create_dir(f"{at}/{month}")
+                out = system.open_output_stream(f"{at}/{month}/{number:08d}")
+            out.write((r.line + "\n").encode())
+        if out:
+            out.close()
 
     rows.foreachPartition(write)
 
+    def join(part) -> None:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(target)
+        _, of = fs.FileSystem.from_uri(pieces)
+        for r in part:
+            with system.open_output_stream(f"{at}/.likes_{r.year_month}.md") as out:
+                for f in sorted(system.get_file_info(fs.FileSelector(f"{of}/{r.year_month}")), key=lambda f: f.path):
+                    with system.open_input_stream(f.path) as piece:
+                        while raw := piece.read(1 << 20):
+                            out.write(raw)
+            system.move(f"{at}/.likes_{r.year_month}.md", f"{at}/likes_{r.year_month}.md")
+
+    months = [(r.year_month,) for r in rows.select("year_month").distinct().collect()]  # a few hundred at most
+    if months:
+        spark.createDataFrame(months, "year_month string").repartition(len(months), "year_month").foreachPartition(join)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pieces)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
 
 def write_markdown(posts: DataFrame, path: str, exported: str, include_media: bool = True) -> None:
     """One Markdown file in parts: a header, then months from the newest."""
@@ -187,5 +217,30 @@ def shown_hits(hits: DataFrame) -> DataFrame:
 
 def newest_first(posts: DataFrame) -> DataFrame:
     """posts with ``place``: by month and time, newest first, unreadable dates last."""
-    at = dates.post_time(F.col("created_at"))
-    return posts.withColumn("place", F.row_number().over(Window.partitionBy(dates.month_key(F.col("created_at"))).orderBy(F.desc_nulls_last(at), "id")))
+    at = -F.unix_micros(dates.post_time(F.col("created_at")))
+    keyed = posts.withColumn("_month", dates.month_key(F.col("created_at"))).withColumn("_last", at.isNull()).withColumn("_at", at)
+    return ordering.numbered(keyed, ["_month"], ["_last", "_at", "id"]).drop("_month", "_last", "_at")
+
+
+def hits_as_text(hits: DataFrame, posts: DataFrame) -> DataFrame:
+    """(query_id, rnk, line): hits (query_id, id, rnk, score) as lines to read: place, handle, address, score, and the text with its links."""
+    slim = posts.select("id", "text", "urls", F.col("author.screen_name").alias("handle"))
+    shown = hits.select("query_id", "id", "rnk", "score").join(slim, "id", "left")
+    said = text.expanded_links(F.coalesce(F.col("text"), F.lit("")), F.coalesce("urls", F.array().cast("array<string>")), distinct=False)
+    head = F.concat(F.col("rnk").cast("string"), F.lit(". @"), F.coalesce("handle", F.lit("")), F.lit(" "), text.status_url(F.col("handle"), F.col("id")), F.lit(" ["), F.coalesce(F.format_string("%.2f", "score"), F.lit("-")), F.lit("]"))
+    return shown.select("query_id", "rnk", F.concat(head, F.lit("\n   "), said).alias("line"))
+
+
+def open_or_build_corpus(posts: DataFrame, path: str, model: str, dims: int, build: Callable[[DataFrame], DataFrame], version: int = 1) -> DataFrame:
+    """The saved corpus of vectors (id, v) if it is of these posts, this model and size; else one that is built, saved and read.
+
+    build(posts) -> (id, v).  An archive without posts has an empty corpus, of
+    which nothing is saved.
+    """
+    spark = posts.sparkSession
+    if posts.isEmpty():
+        return spark.createDataFrame([], "id string, v array<float>")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not (at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) and corpus_valid(spark.read.parquet(path), posts, model, dims, version)):
+        save_corpus(build(posts), path, model, version)
+    return spark.read.parquet(path).select("id", "v")

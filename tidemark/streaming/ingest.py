@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources import archive
@@ -47,35 +47,57 @@ def _entries(page: str) -> Iterator[dict]:
         return
 
 
-class PageReader(SimpleDataSourceStreamReader):
-    """Pages of a folder of saved pages in order of name, ``batch`` at a time; the offset is the last name read."""
+@dataclass
+class PagePart(InputPartition):
+    """Pages that one task reads."""
 
-    def __init__(self, folder: str, batch: int):
-        self.folder, self.batch = folder, batch
+    names: tuple[str, ...]
+
+
+class PageReader(DataSourceStreamReader):
+    """Pages of a folder of saved pages in order of name; the offset is the last name read.
+
+    The driver only lists names; the pages' bodies are read by the tasks, some
+    pages each.  The folder must be one that all executors share.
+    """
+
+    def __init__(self, folder: str, each: int):
+        self.folder, self.each = folder, each
 
     def initialOffset(self) -> dict:
         return {"after": ""}
 
-    def _names(self, after: str, upto: str | None = None) -> list[str]:
-        return sorted(n for n in os.listdir(self.folder) if n.endswith(".json") and n > after and (upto is None or n <= upto))
+    def _names(self) -> list[str]:
+        from pyarrow import fs
+
+        system, at = _place(self.folder)
+        return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".json"))
+
+    def latestOffset(self) -> dict:
+        return {"after": max(self._names(), default="")}
 
-    def _rows(self, names: list[str]) -> Iterator[tuple]:
-        rows = []
-        for n in names:
-            with open(f"{self.folder}/{n}", encoding="utf-8") as f:
-                rows.append((n, f.read()))
-        return iter(rows)  # Spark copies it
+    def partitions(self, start: dict, end: dict) -> list[PagePart]:
+        names = [n for n in self._names() if start["after"] < n <= end["after"]]
+        return [PagePart(tuple(names[i : i + self.each])) for i in range(0, len(names), self.each)]
 
-    def read(self, start: dict):
-        names = self._names(start["after"])[: self.batch]
-        return self._rows(names), {"after": names[-1] if names else start["after"]}
+    def read(self, partition: PagePart) -> Iterator[tuple]:
+        system, at = _place(self.folder)
+        for n in partition.names:
+            with system.open_input_stream(f"{at}/{n}") as f:
+                yield n, f.read().decode("utf-8")
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return self._rows(self._names(start["after"], end["after"]))
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _place(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
 
 
 class PageSource(DataSource):
-    """``saved_pages``: a stream of (page, json) from a folder (option path; batch pages at a time)."""
+    """``saved_pages``: a stream of (page, json) from a folder (option path; each: pages to a task)."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,18 +106,36 @@ class PageSource(DataSource):
     def schema(self) -> str:
         return "page string, json string"
 
-    def simpleStreamReader(self, schema) -> PageReader:
-        return PageReader(self.options["path"], int(self.options.get("batch", "10")))
+    def streamReader(self, schema) -> PageReader:
+        return PageReader(self.options["path"], int(self.options.get("each", "20")))
 
 
-def read_pages(spark: SparkSession, folder: str, batch: int = 10) -> DataFrame:
+def read_pages(spark: SparkSession, folder: str, each: int = 20) -> DataFrame:
+    """The pages of a folder as a stream, ``each`` of them to a task."""
     spark.dataSource.register(PageSource)
-    return spark.readStream.format("saved_pages").option("path", folder).option("batch", str(batch)).load()
+    return spark.readStream.format("saved_pages").option("path", folder).option("each", str(each)).load()
+
+
+def new_posts(stream: DataFrame, saved: str, checkpoint: str) -> StreamingQuery:
+    """Appends the posts of a stream of pages to a Parquet table, each id once (its first delivery), until nothing new is there.
+
+    What has been taken is the table itself: each batch is joined against its
+    ids, so the stream keeps no state that grows.  A batch that is repeated
+    after a failure replaces what it had written.
+    """
 
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        posts = archive.page_posts(batch)
+        first = posts.groupBy("id").agg(F.min(F.struct("page", "i", "j")).alias("_at"))
+        one = posts.join(first, "id").where(F.struct("page", "i", "j") == F.col("_at")).drop("_at")
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved)
+        if number and there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            old = spark.read.schema("id string, batch bigint").parquet(saved).where(F.col("batch") < number)
+            one = one.join(old.select("id"), "id", "left_anti")
+        one.write.mode("overwrite").parquet(f"{saved}/batch={number}")
 
-def new_posts(stream: DataFrame) -> DataFrame:
-    """The posts of a stream of pages, each id once (its first delivery)."""
-    return archive.page_posts(stream).dropDuplicates(["id"])
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_deliveries(stream: DataFrame, delay: str = "30 days") -> DataFrame:

@@ -1,11 +1,10 @@
 """Problem 5: nested JSON records as related flat tables.
 
 Method: adjacency-table shredding.  Each record becomes rows of one adjacency
-table: (record, node, parent, type, label, ordinal, name, scalar).  Object nodes
-are joined with their scalar children by aggregating both on the object's node
-(children stand beside their object, so tasks combine them before the shuffle)
-and pivoted into one row per object; the entity tables are then joins of objects
-with their parent objects.
+table: (record, node, parent, type, label, ordinal, name, scalar).  The scalar
+children of each object are pivoted into one row (they stand beside each other,
+so tasks combine them before the shuffle) and object nodes are joined with these
+rows; the entity tables are then joins of objects with their parent objects.
 
 A shape says which labels lead from a type of object to which type, and which
 scalars of a type are kept; all else is pruned while shredding.
@@ -51,13 +50,13 @@ POST = Shape(
         ("user", "legacy"): "legacy",
     },
     scalars={
-        "post": ("id", "text", "created_at", "lang", "favorite_count"),
-        "user": ("id", "rest_id", "screen_name", "name"),
+        "post": ("id", "text", "created_at", "lang", *(f"{c}_count" for c in ("favorite", "retweet", "reply", "quote", "view")), "is_retweet", "is_quote", "conversation_id", "in_reply_to_user_id"),
+        "user": ("id", "rest_id", "screen_name", "name", "profile_image_url", "verified", "followers_count", "following_count"),
         "core": ("screen_name", "name"),
-        "legacy": ("screen_name", "followers_count"),
+        "legacy": ("screen_name", "name", "profile_image_url_https", "verified", "followers_count", "friends_count"),
         "media": ("type", "url", "media_url", "media_url_https", "preview_image_url", "width", "height", "local_path"),
     },
-    lists={"post": ("hashtags",)},
+    lists={"post": ("hashtags", "urls", "mentions")},
     text_links=frozenset(("quoted_tweet", "retweeted_tweet")),
 )
 
@@ -95,7 +94,7 @@ def shred_value(value, shape: Shape) -> Iterator[tuple]:
     """Adjacency rows (node, parent, type, label, ordinal, name, scalar) of one record.
 
     An object's own row has a null name; the row of a scalar has the node and
-    type of its object, and a name.  Nodes are numbered in order of appearance;
+    type of its object, and a name, but neither parent, label nor ordinal.  Nodes are numbered in order of appearance;
     the parent of a root is -1.  The ordinal is the place in the array the
     object stands in, null entries counting, or 0.
     """
@@ -108,11 +107,11 @@ def shred_value(value, shape: Shape) -> Iterator[tuple]:
         node, number = number, number + 1
         yield node, parent, kind, label, ordinal, None, None
         for name in shape.scalars.get(kind, ()):
-            if (s := _scalar(obj.get(name))) is not None:
-                yield node, parent, kind, label, ordinal, name, s
+            if name in obj and (s := _scalar(obj[name])) is not None:
+                yield node, None, kind, None, None, name, s
         for name in shape.lists.get(kind, ()):
             if isinstance(obj.get(name), list):
-                yield node, parent, kind, label, ordinal, name, json.dumps(obj[name], ensure_ascii=False)
+                yield node, None, kind, None, None, name, json.dumps(obj[name], ensure_ascii=False)
         for (of, name), to in shape.links.items():
             if of != kind or name not in obj:
                 continue
@@ -160,11 +159,11 @@ def shred(df: DataFrame, key: str, payload: str, shape: Shape = POST) -> DataFra
 
 
 def objects(nodes: DataFrame, types: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """One row (record, node, parent, type, label, ordinal, *names) for each object of the types: object rows joined with scalar children and pivoted."""
-    some = nodes.where(F.col("type").isin(list(types)) & (F.col("name").isNull() | F.col("name").isin(list(names))))
-    # an object's own row and those of its scalars agree in parent, type, label and ordinal
-    keep = [F.first(c).alias(c) for c in ("parent", "type", "label", "ordinal")]
-    return some.groupBy("record", "node").agg(*keep, *[F.max(F.when(F.col("name") == n, F.col("scalar"))).alias(n) for n in names])
+    """One row (record, node, parent, type, label, ordinal, *names) for each object of the types: object rows joined with their pivoted scalar children."""
+    some = nodes.where(F.col("type").isin(list(types)))
+    own = some.where("name IS NULL").select("record", "node", "parent", "type", "label", "ordinal")
+    scalars = some.where(F.col("name").isin(list(names))).groupBy("record", "node").agg(*[F.max(F.when(F.col("name") == n, F.col("scalar"))).alias(n) for n in names])
+    return own.join(scalars, ["record", "node"], "left")
 
 
 def _filled(*columns: Column) -> Column:
@@ -173,32 +172,41 @@ def _filled(*columns: Column) -> Column:
 
 
 def users(nodes: DataFrame) -> DataFrame:
-    """(record, post_node, user_id, screen_name, name, followers_count): each post's user.
+    """(record, post_node, user_id, screen_name, name, profile_image_url, verified, followers_count, following_count): each post's user.
 
     screen_name and name come from the newer block if it has them, else from the
-    user itself, else from the older block, else ''.
+    user itself, else from the older block, else ''; the other fields from the
+    user itself, else from the older block, else null.
     """
-    every = objects(nodes, ("user", "core", "legacy"), ("id", "rest_id", "screen_name", "name", "followers_count"))
+    every = objects(nodes, ("user", "core", "legacy"), ("id", "rest_id", "screen_name", "name", "profile_image_url", "profile_image_url_https", "verified", "followers_count", "following_count", "friends_count"))
     # a user and its blocks stand on the user's node
     home = F.when(F.col("type") == "user", F.col("node")).otherwise(F.col("parent"))
     part = lambda t, c: F.max(F.when(F.col("type") == t, F.col(c)))
+    either = lambda a, b: F.coalesce(part("user", a), part("legacy", b))
     one = every.groupBy("record", home.alias("node")).agg(
         part("user", "parent").alias("post_node"),
         _filled(part("user", "id"), part("user", "rest_id")).alias("user_id"),
         _filled(part("core", "screen_name"), part("user", "screen_name"), part("legacy", "screen_name")).alias("screen_name"),
-        _filled(part("core", "name"), part("user", "name")).alias("name"),
-        part("legacy", "followers_count").try_cast("bigint").alias("followers_count"),
+        _filled(part("core", "name"), part("user", "name"), part("legacy", "name")).alias("name"),
+        either("profile_image_url", "profile_image_url_https").alias("profile_image_url"),
+        either("verified", "verified").try_cast("boolean").alias("verified"),
+        either("followers_count", "followers_count").try_cast("bigint").alias("followers_count"),
+        either("following_count", "friends_count").try_cast("bigint").alias("following_count"),
     )
-    return one.where("post_node IS NOT NULL").select("record", "post_node", "user_id", "screen_name", "name", "followers_count")
+    return one.where("post_node IS NOT NULL").drop("node")
+
+
+_COUNTS = tuple(f"{c}_count" for c in ("favorite", "retweet", "reply", "quote", "view"))
 
 
 def posts(nodes: DataFrame) -> DataFrame:
-    """(record, node, parent_node, parent_tweet_id, tweet_id, relation, ordinal, text, created_at, lang, favorite_count, hashtags).
+    """(record, node, parent_node, parent_tweet_id, tweet_id, relation, ordinal, text, created_at, lang, counts, flags, conversation_id, in_reply_to_user_id, hashtags, urls, mentions).
 
     parent_tweet_id is the enclosing post's id, '' at the top; relation is the
-    label that leads to the post, '' at the top.
+    label that leads to the post, '' at the top.  Fields a post doesn't have
+    are null.
     """
-    p = objects(nodes, ("post",), ("id", "text", "created_at", "lang", "favorite_count", "hashtags"))
+    p = objects(nodes, ("post",), (*POST.scalars["post"], *POST.lists["post"]))
     up = p.select("record", F.col("node").alias("parent"), F.coalesce("id", F.lit("")).alias("parent_tweet_id"))
     return p.join(up, ["record", "parent"], "left").select(
         "record",
@@ -211,8 +219,11 @@ def posts(nodes: DataFrame) -> DataFrame:
         "text",
         "created_at",
         "lang",
-        F.col("favorite_count").try_cast("bigint").alias("favorite_count"),
-        F.from_json("hashtags", "array<string>").alias("hashtags"),
+        *[F.col(c).try_cast("bigint").alias(c) for c in _COUNTS],
+        *[F.col(c).try_cast("boolean").alias(c) for c in ("is_retweet", "is_quote")],
+        "conversation_id",
+        "in_reply_to_user_id",
+        *[F.from_json(c, "array<string>").alias(c) for c in POST.lists["post"]],
     )
 
 

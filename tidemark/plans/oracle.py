@@ -39,6 +39,16 @@ def _tokens(x: str) -> str:
 _BODY = "array_to_string(list_filter(list_concat([text], coalesce(urls, CAST([] AS VARCHAR[]))), lambda p: trim(p) <> ''), ' ')"
 _STATUS = "CASE WHEN regexp_full_match(coalesce(id, ''), '[0-9]+') THEN 'https://x.com/' || CASE WHEN regexp_full_match(coalesce(author.screen_name, ''), '[A-Za-z0-9_]{1,15}') THEN author.screen_name ELSE 'i' END || '/status/' || id ELSE '' END"
 
+#: The address an export writes: handle and id as they are.
+_PLAIN_URL = "'https://x.com/' || coalesce(author.screen_name, '') || '/status/' || coalesce(id, '')"
+
+
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 _INDEX = f"""{_POSTS},
 words AS (SELECT id, {_tokens(_BODY)} AS w FROM posts),
 sizes AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM words),
@@ -141,7 +151,7 @@ SQL: dict[str, str] = {
   coalesce(author.verified, false) AS user_verified, coalesce(retweet_count, 0) AS retweet_count, coalesce(favorite_count, 0) AS favorite_count, coalesce(reply_count, 0) AS reply_count,
   coalesce(quote_count, 0) AS quote_count, coalesce(view_count, 0) AS view_count, lang, coalesce(is_retweet, false) AS is_retweet, coalesce(is_quote, false) AS is_quote,
   coalesce(len(media), 0) > 0 AS has_media, coalesce(len(media), 0) AS media_count, coalesce(array_to_string(list_filter(list_transform(media, lambda m: m.type), lambda x: x IS NOT NULL), ','), '') AS media_types,
-  coalesce(len(urls), 0) AS url_count, coalesce(len(hashtags), 0) AS hashtag_count, coalesce(array_to_string(hashtags, ','), '') AS hashtags, coalesce(len(mentions), 0) AS mention_count, {_STATUS} AS tweet_url FROM tweets""",
+  coalesce(len(urls), 0) AS url_count, coalesce(len(hashtags), 0) AS hashtag_count, coalesce(array_to_string(hashtags, ','), '') AS hashtags, coalesce(len(mentions), 0) AS mention_count, {_PLAIN_URL} AS tweet_url FROM tweets""",
     "posts_stats": "SELECT count(*) AS total, count_if(len(media) > 0) AS with_media, CAST(coalesce(sum(len(media)), 0) AS BIGINT) AS total_media, count_if(is_retweet) AS retweets, count_if(is_quote) AS quotes, count_if(author.verified) AS verified_authors, count(DISTINCT CASE WHEN author.id <> '' THEN author.id END) AS unique_authors FROM tweets",
     "month_counts": f"SELECT year_month, count(*) AS tweet_count FROM (SELECT {_month('created_at')} AS year_month FROM tweets) WHERE year_month IS NOT NULL GROUP BY 1",
     "author_affinity": f"WITH {_AFFINITY} SELECT screen_name, posts, round(affinity, 9) AS affinity FROM affinity",

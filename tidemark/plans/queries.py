@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text, vectors
 from tidemark.operators import bm25, dense, entities, graph, ranking, reports, search, shredding
 from tidemark.operators import posts as P
+from tidemark.plans import reading
 from tidemark.plans.oracle import SQL
-from tidemark.sources import archive, sinks
+from tidemark.sources import archive
 from tidemark.storage import materialize, scratch, table
 from tidemark.streaming import ingest
 
@@ -206,11 +207,6 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tweets").select("id", "text").distinct().select("id", text.html_escaped(F.col("text")).alias("html"))
 
 
-def markdown_posts(spark: SparkSession, d: str) -> DataFrame:
-    """The Markdown export's lines."""
-    return sinks.markdown_rows(_posts(spark, d))
-
-
 def media_files(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "tweets").select(F.col("id").alias("tweet_id"), F.posexplode("media").alias("pos", "m"))
     url = text.original_photo_url(F.col("m.type"), F.col("m.media_url"), F.col("m.url"))
@@ -287,7 +283,6 @@ QUERIES: dict[str, Query] = {
     "graph_json": graph_json,
     "report_trend": report_trend,
     "month_sections": month_sections,
-    "markdown_posts": markdown_posts,
     "html_texts": html_texts,
     "text_sanitized": text_sanitized,
     "text_cuts": text_cuts,
@@ -301,3 +296,6 @@ QUERIES: dict[str, Query] = {
     "p5_media": p5_media,
 }
 ORACLE: dict[str, str] = dict(SQL)
+for more in (reading,):
+    QUERIES |= more.QUERIES
+    ORACLE |= more.SQL

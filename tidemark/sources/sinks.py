@@ -22,7 +22,7 @@ def write_flat(posts: DataFrame, path: str, format: str) -> None:
     """The flat table as csv (with a header), parquet or excel (where openpyxl is there; one sheet, so at most its million rows)."""
     flat = P.flat(posts)
     if format == "csv":
-        flat.write.mode("overwrite").csv(path, header=True, escape='"')
+        flat.write.mode("overwrite").csv(path, header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif format == "parquet":
         flat.write.mode("overwrite").parquet(path)
     elif format == "excel":

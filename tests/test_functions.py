@@ -137,3 +137,13 @@ def test_vectors(spark):
     s = "a array<float>"
     assert one(spark, vectors.normalized, [3.0, 4.0], schema=s) == pytest.approx([0.6, 0.8])
     assert one(spark, vectors.normalized, [0.0, 0.0], schema=s) == [0.0, 0.0]
+
+
+def test_nfkc_composes(spark):
+    texts = ["Kasa\u0301fi", "Kas\xe1fi", "\ufb01\uff46", "a\0e\u0301", "\u0301x", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import unicodedata
+
+    from tidemark.functions import text
+
+    assert [r[0] for r in df.select(text.nfkc(F.col("t"))).collect()] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]

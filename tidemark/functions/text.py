@@ -38,13 +38,27 @@ def index_text(text: Column, urls: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition."""
+    """Unicode compatibility composition.
+
+    Arrow's own kernel leaves letters and accents apart, so the texts of a batch
+    beyond ASCII are normalised at once, joined by a character that keeps them apart.
+    """
 
     @F.arrow_udf("string")
     def run(arr):
+        import unicodedata
+
+        import pyarrow as pa
         import pyarrow.compute as pc
 
-        return pc.utf8_normalize(arr, form="NFKC")
+        plain = pc.fill_null(pc.string_is_ascii(arr), True)
+        if pc.all(plain).as_py() or len(arr) == 0:
+            return arr
+        odd = arr.filter(pc.invert(plain)).to_pylist()
+        done = unicodedata.normalize("NFKC", "\0".join(odd)).split("\0")
+        if len(done) != len(odd):  # texts that hold the separator
+            done = [unicodedata.normalize("NFKC", x) for x in odd]
+        return pc.replace_with_mask(arr, pc.invert(plain), pa.array(done, pa.string()))
 
     return run(text)
 

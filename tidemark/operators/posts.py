@@ -102,8 +102,8 @@ def extremes(posts: DataFrame, count: str = "favorite_count", top: int = 5) -> D
     return best.select(place.alias("place"), "id", "count", F.lit(ends.least).cast("bigint").alias("least"), F.lit(ends.most).cast("bigint").alias("most"))
 
 
-def read_post(posts: DataFrame, ident: str) -> DataFrame:
-    """The up to nine fields shown of one post as JSON; fields that are empty, 0 or null are left out."""
+def post_json() -> Column:
+    """The up to nine fields shown of a post as JSON, from its columns; fields that are empty, 0 or null are left out."""
     full = lambda c: F.when((c != "") & (c.cast("string") != "0"), c)
     shown = {
         "tweet_id": F.col("id"),
@@ -114,8 +114,12 @@ def read_post(posts: DataFrame, ident: str) -> DataFrame:
         "url": text.status_url(F.col("author.screen_name"), F.col("id")),
     }
     counts = {"view_count": "view_count", "like_count": "favorite_count", "retweet_count": "retweet_count"}
-    some = posts.where(F.col("id") == ident).limit(1)
-    return some.select(F.to_json(F.struct(*[full(c).alias(k) for k, c in shown.items()], *[F.when(F.col(c) != 0, F.col(c)).alias(k) for k, c in counts.items()])).alias("post"))
+    return F.to_json(F.struct(*[full(c).alias(k) for k, c in shown.items()], *[F.when(F.col(c) != 0, F.col(c)).alias(k) for k, c in counts.items()]))
+
+
+def read_post(posts: DataFrame, ident: str) -> DataFrame:
+    """(post): what is shown of one post, as JSON."""
+    return posts.where(F.col("id") == ident).limit(1).select(post_json().alias("post"))
 
 
 def new_only(arrived: DataFrame, saved: DataFrame) -> DataFrame:

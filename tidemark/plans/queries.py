@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text, vectors
 from tidemark.operators import bm25, dense, entities, graph, ranking, reports, search, shredding
 from tidemark.operators import posts as P
-from tidemark.plans import reading
+from tidemark.plans import reading, texts
 from tidemark.plans.oracle import SQL
 from tidemark.sources import archive
 from tidemark.storage import materialize, scratch, table
@@ -170,13 +170,6 @@ def search_second_round(spark: SparkSession, d: str) -> DataFrame:
     return search.second_round(first, queries, nodes, lambda q: search.lexical(index, q, posts, 20))
 
 
-def hits_shaped(spark: SparkSession, d: str) -> DataFrame:
-    """Hits as they are shown."""
-    hits = table(spark, d, "scored_hits").groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max("score").alias("score"), F.max("walker_relevance").alias("walker_relevance"), F.max(F.to_json("feature_breakdown")).alias("feature_breakdown"))
-    ranked = hits.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return search.shaped(ranked, _posts(spark, d))
-
-
 def hits_by_month(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "scored_hits").select("query_id", F.col("tweet_id").alias("id")).distinct()
     month = F.coalesce(dates.month_key(F.col("created_at")), F.lit("unknown"))
@@ -188,21 +181,11 @@ def month_sections(spark: SparkSession, d: str) -> DataFrame:
     return archive.sections(files, ("x.example",)).select(F.col("year_month").alias("doc_id"), "tweet_id", "handle")
 
 
-def text_sanitized(spark: SparkSession, d: str) -> DataFrame:
-    """Posts' texts and names as they are shown."""
-    t = table(spark, d, "tweets").select("id", "text", F.col("author.name").alias("name")).distinct()
-    return t.select("id", text.sanitized(F.col("text")).alias("text"), text.sanitized(F.col("name")).alias("name"), text.fenced(F.col("text"), "tweet").alias("fenced"))
-
-
 def text_cuts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", text.cut(t, 240).alias("plain"), text.flat_cut(t).alias("flat"), text.ellipsis_cut(t).alias("short"))
 
 
-def byte_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.byte_cut(F.col("text"), 1024).alias("cut"))
-
-
 def html_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tweets").select("id", "text").distinct().select("id", text.html_escaped(F.col("text")).alias("html"))
 
@@ -266,7 +249,6 @@ QUERIES: dict[str, Query] = {
     "query_terms": query_terms,
     "query_months": query_months,
     "rank_hits": rank_hits,
-    "hits_shaped": hits_shaped,
     "hits_by_month": hits_by_month,
     "posts_latest": posts_latest,
     "posts_flat": posts_flat,
@@ -284,9 +266,7 @@ QUERIES: dict[str, Query] = {
     "report_trend": report_trend,
     "month_sections": month_sections,
     "html_texts": html_texts,
-    "text_sanitized": text_sanitized,
     "text_cuts": text_cuts,
-    "byte_cuts": byte_cuts,
     "media_files": media_files,
     "vector_norms": vector_norms,
     "stream_languages": stream_languages,
@@ -296,6 +276,6 @@ QUERIES: dict[str, Query] = {
     "p5_media": p5_media,
 }
 ORACLE: dict[str, str] = dict(SQL)
-for more in (reading,):
+for more in (reading, texts):
     QUERIES |= more.QUERIES
     ORACLE |= more.SQL

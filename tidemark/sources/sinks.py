@@ -227,7 +227,7 @@ def hits_as_text(hits: DataFrame, posts: DataFrame) -> DataFrame:
     slim = posts.select("id", "text", "urls", F.col("author.screen_name").alias("handle"))
     shown = hits.select("query_id", "id", "rnk", "score").join(slim, "id", "left")
     said = text.expanded_links(F.coalesce(F.col("text"), F.lit("")), F.coalesce("urls", F.array().cast("array<string>")), distinct=False)
-    head = F.concat(F.col("rnk").cast("string"), F.lit(". @"), F.coalesce("handle", F.lit("")), F.lit(" "), text.status_url(F.col("handle"), F.col("id")), F.lit(" ["), F.coalesce(F.format_string("%.2f", "score"), F.lit("-")), F.lit("]"))
+    head = F.concat(F.col("rnk").cast("string"), F.lit(". @"), F.coalesce("handle", F.lit("")), F.lit(" "), text.status_url(F.col("handle"), F.col("id")), F.lit(" ["), F.when(F.col("score").isNotNull(), F.format_string("%.3f", "score")).otherwise("-"), F.lit("]"))
     return shown.select("query_id", "rnk", F.concat(head, F.lit("\n   "), said).alias("line"))
 
 

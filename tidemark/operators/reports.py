@@ -224,3 +224,27 @@ def render(shape: str, query: str, hits: list[Hit], nodes: list[dict], edges: li
         for month in sorted(buckets):
             out += [f"## {month}", "", *map(_line, buckets[month]), ""]
     return clean("\n".join([*out, *tops]))
+
+
+def rendered(searches, shape: str):
+    """(query_id, line, markdown): the report of each search, without a model.
+
+    searches is a DataFrame (query_id, query_text, hits, nodes, edges): arrays of
+    at most a few hundred structs of one search each, in order; a search without
+    hits has the note that there are none.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            at, number, said = [], [], []
+            for i, r in enumerate(b.to_pylist()):
+                hits = [Hit(h["id"], h["handle"] or "", h["text"] or "", h["urls"] or [], h["month"] or "") for h in r["hits"] or ()]
+                lines = render(shape, r["query_text"] or "", hits, r["nodes"] or [], r["edges"] or []).split("\n")
+                at += [i] * len(lines)
+                number += range(len(lines))
+                said += lines
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(said, pa.string())], ["query_id", "line", "markdown"])
+
+    check_shape(shape)
+    return searches.select("query_id", "query_text", "hits", "nodes", "edges").mapInArrow(run, "query_id bigint, line int, markdown string")

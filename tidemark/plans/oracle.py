@@ -199,3 +199,48 @@ SELECT doc_id, regexp_extract(s, 'https?://x[.]example/([^/\s)]*)/status/([0-9]+
     "stream_languages": "SELECT lang, count(DISTINCT id) AS posts FROM tweets WHERE fetched_at IS NOT NULL GROUP BY lang",
     "hits_by_month": f"WITH {_POSTS} SELECT h.query_id, coalesce({_month('p.created_at')}, 'unknown') AS year_month, count(*) AS hits FROM (SELECT DISTINCT query_id, tweet_id FROM scored_hits) h JOIN posts p ON p.id = h.tweet_id GROUP BY 1, 2",
 }
+
+
+# nested records: objects with the path that leads to them, which sorts as they are met
+_OBJECTS = r"""RECURSIVE whole AS (SELECT record_id, CAST(payload AS JSON) AS j FROM likes_export WHERE record_id IS NOT NULL AND json_valid(payload)),
+tops AS (SELECT record_id, CAST(0 AS BIGINT) AS ordinal, j AS o FROM whole WHERE json_type(j) = 'OBJECT' UNION ALL SELECT record_id, generate_subscripts(x, 1) - 1, unnest(x) FROM (SELECT record_id, json_extract(j, '$[*]') AS x FROM whole WHERE json_type(j) = 'ARRAY')),
+objects AS (SELECT record_id, 'post' AS type, '' AS label, ordinal, [ordinal] AS path, o FROM tops WHERE json_type(o) = 'OBJECT'
+UNION ALL SELECT record_id, type, label, ordinal, list_concat(path, [place, ordinal]), o FROM (
+  SELECT record_id, path, type, label, place, CAST(0 AS BIGINT) AS ordinal, v AS o FROM (
+    SELECT p.record_id, p.path, l.type, l.label, l.place, CASE WHEN l.as_text AND json_type(p.o, '$.' || l.label) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p.o, '$.' || l.label)) THEN CAST(json_extract_string(p.o, '$.' || l.label) AS JSON) END ELSE json_extract(p.o, '$.' || l.label) END AS v
+    FROM objects p JOIN (VALUES ('post', 'media', 'media', CAST(0 AS BIGINT), false), ('post', 'user', 'user', 1, false), ('post', 'retweeted_tweet', 'post', 2, true), ('post', 'quoted_tweet', 'post', 3, true), ('user', 'legacy', 'legacy', 0, false), ('user', 'core', 'core', 1, false)) l(owner, label, type, place, as_text) ON l.owner = p.type)
+  WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT record_id, path, type, label, place, generate_subscripts(x, 1) - 1, unnest(x) FROM (SELECT record_id, path, type, label, place, json_extract(v, '$[*]') AS x FROM (
+    SELECT p.record_id, p.path, l.type, l.label, l.place, CASE WHEN l.as_text AND json_type(p.o, '$.' || l.label) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p.o, '$.' || l.label)) THEN CAST(json_extract_string(p.o, '$.' || l.label) AS JSON) END ELSE json_extract(p.o, '$.' || l.label) END AS v
+    FROM objects p JOIN (VALUES ('post', 'media', 'media', CAST(0 AS BIGINT), false), ('post', 'user', 'user', 1, false), ('post', 'retweeted_tweet', 'post', 2, true), ('post', 'quoted_tweet', 'post', 3, true), ('user', 'legacy', 'legacy', 0, false), ('user', 'core', 'core', 1, false)) l(owner, label, type, place, as_text) ON l.owner = p.type)
+  WHERE json_type(v) = 'ARRAY')) WHERE json_type(o) = 'OBJECT'),
+nodes AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY path) - 1 AS node FROM objects)"""
+
+
+def _s(name: str, o: str = "o.o") -> str:
+    return f"CASE WHEN json_type({o}, '$.{name}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string({o}, '$.{name}') END"
+
+
+def _filled(*x: str) -> str:
+    return f"coalesce({', '.join(f'nullif({v}, {chr(39) * 2})' for v in x)}, '')"
+
+
+_UP = "len(o.path) > 1 AND o.path[1 : len(o.path) - 2] = p.path AND p.record_id = o.record_id"
+_JOINED = "CASE WHEN json_type(o.o, '$.{0}') = 'ARRAY' THEN array_to_string(json_extract_string(o.o, '$.{0}[*]'), ' ') END AS {0}"
+_P5_POSTS = f"""SELECT o.record_id, o.node, p.node AS parent_node, coalesce({_s('id', 'p.o')}, '') AS parent_tweet_id, coalesce({_s('id')}, '') AS tweet_id, o.label AS relation, CAST(o.ordinal AS INT) AS ordinal, {_s('text')} AS text, {_s('created_at')} AS created_at, {_s('lang')} AS lang,
+  {', '.join(f"TRY_CAST({_s(c)} AS BIGINT) AS {c}" for c in ('favorite_count', 'retweet_count', 'reply_count', 'quote_count', 'view_count'))}, TRY_CAST({_s('is_retweet')} AS BOOLEAN) AS is_retweet, TRY_CAST({_s('is_quote')} AS BOOLEAN) AS is_quote, {_s('conversation_id')} AS conversation_id, {_s('in_reply_to_user_id')} AS in_reply_to_user_id,
+  {', '.join(_JOINED.format(c) for c in ('hashtags', 'urls', 'mentions'))} FROM nodes o LEFT JOIN nodes p ON {_UP} WHERE o.type = 'post'"""
+_BLOCKS = "LEFT JOIN nodes c ON c.record_id = o.record_id AND c.path = list_concat(o.path, [1, 0]) AND c.type = 'core' LEFT JOIN nodes l ON l.record_id = o.record_id AND l.path = list_concat(o.path, [0, 0]) AND l.type = 'legacy'"
+_NAME = _filled(_s("screen_name", "c.o"), _s("screen_name"), _s("screen_name", "l.o"))
+_P5_USERS = f"""SELECT o.record_id, p.node AS post_node, {_filled(_s('id'), _s('rest_id'))} AS user_id, {_NAME} AS screen_name, {_filled(_s('name', 'c.o'), _s('name'), _s('name', 'l.o'))} AS name, coalesce({_s('profile_image_url')}, {_s('profile_image_url_https', 'l.o')}) AS profile_image_url,
+  TRY_CAST(coalesce({_s('verified')}, {_s('verified', 'l.o')}) AS BOOLEAN) AS verified, TRY_CAST(coalesce({_s('followers_count')}, {_s('followers_count', 'l.o')}) AS BIGINT) AS followers_count, TRY_CAST(coalesce({_s('following_count')}, {_s('friends_count', 'l.o')}) AS BIGINT) AS following_count
+  FROM nodes o JOIN nodes p ON {_UP} {_BLOCKS} WHERE o.type = 'user'"""
+_P5_MEDIA = f"""SELECT o.record_id, p.node AS post_node, CAST(o.ordinal AS INT) AS media_pos, {_s('type')} AS kind, {_s('url')} AS url, {_filled(_s('media_url'), _s('media_url_https'))} AS media_url, {_s('preview_image_url')} AS preview_image_url,
+  TRY_CAST({_s('width')} AS INT) AS width, TRY_CAST({_s('height')} AS INT) AS height, {_s('local_path')} AS local_path FROM nodes o JOIN nodes p ON {_UP} WHERE o.type = 'media'"""
+SQL |= {
+    "p5_posts": f"WITH {_OBJECTS} {_P5_POSTS}",
+    "p5_users": f"WITH {_OBJECTS} {_P5_USERS}",
+    "p5_media": f"WITH {_OBJECTS} {_P5_MEDIA}",
+    "p5_found": f"""WITH {_OBJECTS}, posts AS ({_P5_POSTS}), users AS ({_P5_USERS}), media AS ({_P5_MEDIA})
+SELECT DISTINCT m.record_id, p.parent_tweet_id, p.tweet_id, m.media_pos, coalesce(u.screen_name, '') AS screen_name, m.media_url FROM media m JOIN posts p ON p.record_id = m.record_id AND p.node = m.post_node LEFT JOIN users u ON u.record_id = m.record_id AND u.post_node = m.post_node WHERE m.media_url <> ''""",
+}

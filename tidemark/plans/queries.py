@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text, vectors
-from tidemark.operators import bm25, dense, entities, graph, ranking, reports, search, shredding
+from tidemark.operators import bm25, dense, entities, ranking, search, shredding
 from tidemark.operators import posts as P
-from tidemark.plans import reading, texts
+from tidemark.plans import reading, reporting, texts
 from tidemark.plans.oracle import SQL
 from tidemark.sources import archive
 from tidemark.storage import materialize, scratch, table
@@ -36,7 +36,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_posts(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of posts, each with its enclosing post."""
-    return shredding.posts(_nodes(spark, d)).withColumnRenamed("record", "record_id")
+    got = shredding.posts(_nodes(spark, d)).withColumnRenamed("record", "record_id")
+    return got.withColumns({c: F.array_join(c, " ") for c in ("hashtags", "urls", "mentions")})
 
 
 def p5_users(spark: SparkSession, d: str) -> DataFrame:
@@ -133,41 +134,12 @@ def entities_top(spark: SparkSession, d: str) -> DataFrame:
     return total.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 50)
 
 
-def _graph(spark: SparkSession, d: str) -> graph.Graph:
-    hits = table(spark, d, "scored_hits").where("tweet_id IS NOT NULL")
-    s = F.when(F.col("score").isNull() | F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
-    best = hits.groupBy("query_id", F.col("tweet_id").alias("id")).agg(F.max(s).alias("score"))
-    top = best.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rnk <= 20").select("query_id", "id", "rnk")
-    top = materialize(top, "hits")
-    # a graph is of a search's hits: its posts are read, not the archive
-    return graph.build(table(spark, d, "search_queries"), top, materialize(_posts(spark, d).join(top.select("id").distinct(), "id", "left_semi"), "posts"))
-
-
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).nodes.drop("seq")
+    return reporting.graph_of(spark, d).nodes.drop("seq")
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).edges.drop("seq")
-
-
-def graph_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """The entities a second round of each search is made with."""
-    return graph.seeds(_graph(spark, d).nodes)
-
-
-def graph_json(spark: SparkSession, d: str) -> DataFrame:
-    return graph.as_json(_graph(spark, d))
-
-
-def search_second_round(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of both rounds of every search; the second round is one plan over all seeds."""
-    posts = materialize(_posts(spark, d), "posts")
-    index = bm25.build(posts)
-    queries = table(spark, d, "search_queries").select("query_id", "query_text", "year_filter", "month_start", "month_end")
-    first = materialize(search.lexical(index, queries, posts, 20).select("query_id", "id", "rnk"), "hits")
-    nodes = graph.build(queries, first, posts).nodes
-    return search.second_round(first, queries, nodes, lambda q: search.lexical(index, q, posts, 20))
+    return reporting.graph_of(spark, d).edges.drop("seq")
 
 
 def hits_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -223,28 +195,11 @@ def stream_languages(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("id string, lang string, fetched_at timestamp").parquet(f"{home}/posts").groupBy("lang").agg(F.count("*").alias("posts"))
 
 
-def report_trend(spark: SparkSession, d: str) -> DataFrame:
-    """The trend report of the first query with hits (a report is of one search)."""
-    posts = materialize(_posts(spark, d), "posts")
-    queries = table(spark, d, "search_queries").select("query_id", "query_text", "year_filter", "month_start", "month_end")
-    hits = materialize(search.lexical(bm25.build(posts), queries, posts, 50).select("query_id", "id", "rnk"), "hits")
-    one = hits.agg(F.min("query_id")).first()[0]
-    asked = queries.where(F.col("query_id") == one)
-    own = hits.where(F.col("query_id") == one)
-    g = graph.build(asked, own, posts)
-    shown = own.join(posts.select("id", "text", "urls", F.col("author.screen_name").alias("handle"), dates.month_key(F.col("created_at")).alias("m")), "id").orderBy("rnk").collect()  # 50 hits
-    nodes = [r.asDict() for r in g.nodes.orderBy("seq").drop("seq", "query_id").collect()]
-    edges = [r.asDict() for r in g.edges.orderBy("seq").drop("seq", "query_id").collect()]
-    said = reports.render("trend", asked.first().query_text, [reports.Hit(r.id, r.handle or "", r.text or "", list(r.urls or []), r.m or "") for r in shown], nodes, edges)
-    return spark.createDataFrame(list(enumerate(said.split("\n"))), "line int, markdown string")
-
-
 QUERIES: dict[str, Query] = {
     "search_hybrid": search_hybrid,
     "search_bm25": search_bm25,
     "search_dense": search_dense,
     "search_fused": search_fused,
-    "search_second_round": search_second_round,
     "bm25_terms": bm25_terms,
     "query_terms": query_terms,
     "query_months": query_months,
@@ -261,9 +216,6 @@ QUERIES: dict[str, Query] = {
     "entities_top": entities_top,
     "graph_nodes": graph_nodes,
     "graph_edges": graph_edges,
-    "graph_seeds": graph_seeds,
-    "graph_json": graph_json,
-    "report_trend": report_trend,
     "month_sections": month_sections,
     "html_texts": html_texts,
     "text_cuts": text_cuts,
@@ -276,6 +228,6 @@ QUERIES: dict[str, Query] = {
     "p5_media": p5_media,
 }
 ORACLE: dict[str, str] = dict(SQL)
-for more in (reading, texts):
+for more in (reading, texts, reporting):
     QUERIES |= more.QUERIES
     ORACLE |= more.SQL

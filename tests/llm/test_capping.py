@@ -68,3 +68,18 @@ def test_hits(spark):
     hits = spark.createDataFrame([(1, "1", 2.0), (1, "1", None), (1, "1", NAN), (1, "2", None), (1, "3", 1.0), (1, "9", 1.0), (1, None, 1.0)], "query_id bigint, tweet_id string, score double")
     tweets = spark.createDataFrame([("1", ("a",)), ("1", ("a",)), ("2", ("a",)), ("3", ("",)), ("3", None), (None, ("a",))], "id string, author struct<id:string>")
     assert rows(capping.hits_of_authors(hits, tweets)) == [("1", 1, 2.0, "a"), ("2", 1, -INF, "a")]
+
+
+def test_best_scored_by_drawing(spark):
+    """A cold draw with its exact check keeps what sorting keeps, with near and equal scores, ties and nulls."""
+    import random
+
+    random.seed(5)
+    data = [(random.choice("abc"), f"{i:03d}", random.choice([None, float("nan"), 1.0, 1.0 + 1e-7, 2.0, random.random(), 1e12])) for i in range(300)]
+    df = spark.createDataFrame(data, "who string, id string, score double")
+    low = lambda s: float("-inf") if s is None or s != s else s
+    want = {w: [i for _, i in sorted((-low(s), i) for x, i, s in data if x == w)[:4]] for w in "abc"}
+    got = capping.best(df, ["who"], "id", "score", 4).collect()
+    assert {w: [r.id for r in sorted(got, key=lambda r: r.race_rank) if r.who == w] for w in "abc"} == want
+    out = rows(capping.left_out(df, ["who"], "id", "score", 4, capping.COLD, exact=True), "who", "id")
+    assert out == sorted((w, i) for w, i, _ in data if i not in want[w])

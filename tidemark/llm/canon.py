@@ -29,7 +29,7 @@ def spellings(df: DataFrame, key: str, value: str) -> DataFrame:
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("t")).where("k <> '' AND t IS NOT NULL")
     rows = rows.withColumn("form", consistent(F.col("t")))
-    return rows.select("k", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.xxhash64("t").alias("v")).distinct()
+    return rows.select("k", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2"), F.xxhash64("t").alias("v")).distinct()
 
 
 def same_reading_groups(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,7 +6,10 @@ gets the random key ``score / temperature - ln(E)`` with E exponential with mean
 temperature)`` on a logarithmic scale; a contributor's cap-size largest keys are
 retained.  Multiplied by the temperature the key is ``score - temperature *
 ln(E)``, so temperature 0 is the race's limit in which the best-scored records
-win for certain and only ties are drawn, here by the smaller id.
+win for certain and only ties are drawn, here by the smaller id.  Where the
+best-scored are asked for, they are drawn at a small temperature and an exact
+check follows (:func:`best`): the draw bounds each contributor's cap-th score,
+and only records near that bound are ranked by score and id.
 
 E comes from a hash of seed and id, so a rerun or a retried task draws the same.
 The reservoir is mergeable: each map task keeps at most cap rows of a
@@ -21,8 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordering
+
 #: Stands below every number: null and NaN scores are as low as this.
 LOWEST = float("-inf")
+#: Temperature of a draw that an exact check follows, and the most that -ln(E) can be from 0, E coming from 53 bits.
+COLD, SPAN = 1e-6, 40.0
 
 
 def race_key(score: Column, ident: Column, temperature: float = 0.0, seed: int = 0) -> Column:
@@ -32,7 +39,8 @@ def race_key(score: Column, ident: Column, temperature: float = 0.0, seed: int =
         raise ValueError("temperature must not be negative")
     if temperature == 0:
         return s
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    # 52 bits of a hash that other engines have too
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), ident.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return s - F.lit(float(temperature)) * F.log(-F.log(u))
 
 
@@ -50,8 +58,31 @@ def reservoir(df: DataFrame, contributor: Sequence[str], ident: str, score: str,
     return keyed.withColumn("race_rank", F.row_number().over(w)).where(F.col("race_rank") <= cap)
 
 
-def left_out(df: DataFrame, contributor: Sequence[str], ident: str, score: str, cap: int, temperature: float = 0.0, seed: int = 0) -> DataFrame:
-    """The records that :func:`reservoir` doesn't retain.
+def _same(columns: Sequence[str], names: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for c, n in zip(columns, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return on
+
+
+def best(df: DataFrame, contributor: Sequence[str], ident: str, score: str, cap: int, temperature: float = COLD, seed: int = 0) -> DataFrame:
+    """The at most cap best-scored records of each contributor, with ``race`` (the score) and ``race_rank``; ties go to the smaller ident.
+
+    They are drawn by exponential keys; a key differs from its score by at most
+    SPAN x temperature, so no record further below the contributor's cap-th key
+    than twice that can be among the best.  The others are ranked exactly.
+    """
+    names = [f"_d{i}" for i in range(len(contributor))]
+    drawn = reservoir(df, contributor, ident, score, cap, temperature, seed)
+    bound = drawn.groupBy(*(F.col(c).alias(n) for c, n in zip(contributor, names, strict=True))).agg(F.min("race").alias("_bound"), F.count("*").alias("_n")).where(F.col("_n") == cap).drop("_n")
+    low = F.col("_bound") - (2 * SPAN * temperature + F.abs("_bound") * 1e-14)
+    keyed = df.withColumn("race", race_key(F.col(score), F.col(ident), temperature, seed)).join(bound, _same(contributor, names), "left")
+    near = keyed.where(F.col("_bound").isNull() | (F.col("_bound") == LOWEST) | (F.col("race") >= low)).drop("_bound", *names)
+    return reservoir(near, contributor, ident, score, cap)
+
+
+def left_out(df: DataFrame, contributor: Sequence[str], ident: str, score: str, cap: int, temperature: float = 0.0, seed: int = 0, exact: bool = False) -> DataFrame:
+    """The records that :func:`reservoir` doesn't retain or, if exact, that :func:`best` doesn't.
 
     Instead of ranking a whole contributor in one task, the reservoir's last
     key becomes the contributor's threshold; a record is out if it lies behind
@@ -60,7 +91,8 @@ def left_out(df: DataFrame, contributor: Sequence[str], ident: str, score: str,
     neither key nor ident, as many are out as the reservoir doesn't hold.
     Null idents come first, as in the reservoir.
     """
-    kept = reservoir(df, contributor, ident, score, cap, temperature, seed)
+    kept = best(df, contributor, ident, score, cap, temperature, seed) if exact else reservoir(df, contributor, ident, score, cap, temperature, seed)
+    temperature = 0.0 if exact else temperature
     names = [f"_c{i}" for i in range(len(contributor))]
     edge = F.struct(F.col("race").alias("race"), F.col(ident).alias("ident"))
     per = kept.select(*(F.col(c).alias(n) for c, n in zip(contributor, names, strict=True)), "race_rank", edge.alias("_edge"))
@@ -68,9 +100,7 @@ def left_out(df: DataFrame, contributor: Sequence[str], ident: str, score: str,
     held = per.groupBy(*names).agg(F.max_by("_edge", "race_rank").alias("_last"), F.max("race_rank").alias("_full"), F.collect_list("_edge").alias("_all"))
     bound = held.where(F.col("_full") == cap).select(*names, F.col("_last.race").alias("_race"), F.col("_last.ident").alias("_ident"), F.size(F.filter("_all", lambda e: e.eqNullSafe(F.col("_last")))).alias("_held"))
     keyed = df.withColumn("race", race_key(F.col(score), F.col(ident), temperature, seed))
-    on = F.lit(True)
-    for c, n in zip(contributor, names, strict=True):
-        on = on & F.col(c).eqNullSafe(F.col(n))
+    on = _same(contributor, names)
     later = (F.col(ident).isNotNull() & F.col("_ident").isNull()) | F.coalesce(F.col(ident) > F.col("_ident"), F.lit(False))
     behind = (F.col("race") < F.col("_race")) | ((F.col("race") == F.col("_race")) & later)
     level = (F.col("race") == F.col("_race")) & F.col(ident).eqNullSafe(F.col("_ident"))
@@ -86,21 +116,16 @@ def cap_by_share(df: DataFrame, within: Sequence[str], contributor: Sequence[str
 
     ``within`` names the group (such as the query), ``contributor`` the
     contributor inside it.  Ranks are exact without ranking a hot contributor in
-    one task: they are taken inside ranges of the key and moved by the counts
-    of the ranges above.
+    one task: rows are range-partitioned by contributor, key and ident, ranked
+    in their pieces, and moved by the sizes of the pieces before.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    names = [*within, *contributor]
-    # any monotone map of the key serves; this one has finite ends
-    part = df.withColumn("race", race_key(F.col(score), F.col(ident), temperature, seed)).withColumn("_r", F.floor((F.lit(1.0) - F.tanh(F.col("race") / 50.0)) * 32).cast("int"))
-    counts = part.groupBy(*names, "_r").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy(*names).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counts.groupBy(*within).agg(F.sum("_n").alias("_all"))
-    moved = counts.withColumn("_off", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n").join(sizes, list(within))
-    inside = part.withColumn("_in", F.row_number().over(Window.partitionBy(*names, "_r").orderBy(F.desc("race"), F.asc(ident))))
-    ranked = inside.join(moved, [*names, "_r"]).withColumn("race_rank", F.col("_off") + F.col("_in"))
-    return ranked.where(F.col("race_rank") <= F.ceil(F.col("_all") * share)).drop("_r", "_in", "_off", "_all")
+    keyed = df.withColumn("race", race_key(F.col(score), F.col(ident), temperature, seed)).withColumn("_low", -F.col("race"))
+    ranked = ordering.numbered(keyed, [*within, *contributor], ["_low", ident], "race_rank")
+    sizes = df.groupBy(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(within))).agg(F.count("*").alias("_all"))
+    joined = ranked.join(sizes, _same(within, [f"_w{i}" for i in range(len(within))]))
+    return joined.where(F.col("race_rank") <= F.ceil(F.col("_all") * share)).drop("_low", "_all", *[f"_w{i}" for i in range(len(within))])
 
 
 def hits_of_authors(hits: DataFrame, tweets: DataFrame) -> DataFrame:

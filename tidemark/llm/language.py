@@ -9,7 +9,7 @@ The cosine's numerator is linear in the text's n-grams, so each n-gram's product
 with all prototypes is computed once, kept in a table, and gathered: the sum of
 the gathered rows *is* the product of the text's bundle with the prototypes.
 The bundle's norm follows from the n-gram vectors' near orthogonality, which is
-what the method rests on: its square is dimensions x n-grams.
+what the method rests on: its square is dimensions x the sum of squared counts.
 """
 
 from __future__ import annotations
@@ -152,8 +152,18 @@ def train(samples: Sequence[tuple[str, str]], sizes: Sequence[int] = (3,), dims:
     return Profiles(languages, prototypes, dims)
 
 
+def _squares(code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Each row's sum of the squared counts of its n-grams; rows rise."""
+    # one sort of mixed keys: rows stay apart, equal n-grams of a row stand together (but for chance meetings of 40 bits)
+    with np.errstate(over="ignore"):
+        key = np.sort((w.mix(code) >> np.uint64(24)) | (row.astype(np.uint64) << np.uint64(40)))
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.concatenate((new, [len(key)])))
+    return np.bincount((key[new] >> np.uint64(40)).astype(np.int64), (count * count).astype(np.float64), rows)
+
+
 def similarities(p: Profiles, cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, weight): each row's bundle times each prototype, over n-gram sizes, and the number of n-grams; cosine = sums / sqrt(dims * weight)."""
+    """(sums, weight): each row's bundle times each prototype, over n-gram sizes, and its n-grams' squared counts; cosine = sums / sqrt(dims * weight)."""
     rows = len(off) - 1
     sums = np.zeros((rows, len(p.languages)))
     total = np.zeros(rows)
@@ -164,7 +174,7 @@ def similarities(p: Profiles, cps: np.ndarray, off: np.ndarray) -> tuple[np.ndar
             continue
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         sums[row[first]] += np.add.reduceat(p.products(code, n), first, axis=0)
-        total += np.bincount(row, minlength=rows)
+        total += _squares(code, row, rows)
     return sums, total
 
 

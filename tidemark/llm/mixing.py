@@ -47,8 +47,8 @@ def _targets(targets: DataFrame) -> dict[str, Target]:
     rows = targets.select(source_key(F.col("source")).alias("s"), "target_share", "max_repeats").where("s IS NOT NULL AND target_share > 0").orderBy("s", "target_share").collect()  # one row for each source named
     out: dict[str, Target] = {}
     for r in rows:
-        out.setdefault(r.s, Target(r.s, float(r.target_share), max(1, int(r.max_repeats or 1))))
-    return out
+        out.setdefault(r.s, Target(r.s, float(r.target_share), 1 if r.max_repeats is None else int(r.max_repeats)))
+    return {k: x for k, x in out.items() if x.repeats > 0}
 
 
 def solve(cells: DataFrame, targets: dict[str, Target], total: float | None = None, tolerance: float = 1e-7, steps: int = 60) -> None:
@@ -114,7 +114,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     share, and no document is repeated more than its source allows.  Sources
     are compared without letter case and blanks around; documents of other
     sources, of null source and without tokens are not chosen; a target named
-    twice counts with its smaller share; empty tables give no row.
+    twice counts with its smaller share, one without a number of repeats once,
+    and one of 0 repeats or less not at all; empty tables give no row.
     """
     wanted = _targets(targets)
     rows = sizes.select("id", source_key(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens")).where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0))

@@ -91,8 +91,8 @@ class Plan:
         return self.container[run] + (rank - (self.start[run] & ((1 << 40) - 1))) // self.each[run]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS) -> Plan:
-    """The plan for a histogram of lengths of at most capacity."""
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BUCKETS, top_up: bool = True) -> Plan:
+    """The plan for a histogram of lengths of at most capacity; without top_up, batches keep inside their bucket."""
     order = np.argsort(lengths)
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     bounds = bucket_bounds(lengths, counts, buckets)
@@ -116,7 +116,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int =
             k = int(min(budget // bounds[b], left[b]))
             take.append((b, k))
             budget -= k * int(bounds[b])
-            b -= 1
+            b = b - 1 if top_up else -1
         repeat = min(int(left[b]) // k for b, k in take)
         for b, k in take:
             runs.append((b << 40 | int(used[b]), k, done))
@@ -128,9 +128,10 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, buckets: int =
     return Plan(bounds, start, each, first, done)
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, top_up: bool = True) -> DataFrame:
     """(size_name, id, piece, tokens, container) for (id, tokens) and (size_name, capacity_tokens).
 
+    A container's rest is filled from shorter buckets unless top_up is false.
     Pieces are numbered from 0; only items longer than the capacity have more
     than one.  Items of 0 tokens take no space: they have one row with piece 0
     and no container.  Null sizes count as 0; capacities that are null or below
@@ -154,7 +155,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, buckets: int = BUCKETS) -> Dat
     items = items.select("c", "id", "piece", F.col("tokens").cast("bigint").alias("tokens"))
     hist = items.groupBy("c", "tokens").agg(F.count("*").alias("n")).toArrow()
     hc, ht, hn = (np.asarray(hist[x]) for x in ("c", "tokens", "n"))
-    plans = [plan(ht[hc == i], hn[hc == i], named[x], buckets) for i, x in enumerate(names)]
+    plans = [plan(ht[hc == i], hn[hc == i], named[x], buckets, top_up) for i, x in enumerate(names)]
     shared = spark.sparkContext.broadcast(plans)
 
     def bucket(batches):

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Hits left out when each author keeps at most three posts per query."""
     hits = capping.hits_of_authors(table(spark, d, "scored_hits"), table(spark, d, "tweets"))
-    return capping.left_out(hits, ["query_id", "author_id"], "tweet_id", "score", cap=3).select("query_id", "tweet_id")
+    return capping.left_out(hits, ["query_id", "author_id"], "tweet_id", "score", cap=3, temperature=capping.COLD, exact=True).select("query_id", "tweet_id")
 
 
 def p1_drawn(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,8 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
     """Each stretch of one language in each post, with a confidence."""
-    once = table(spark, d, "tweets").select("id", "text").where("id IS NOT NULL").dropDuplicates(["id"])
+    # of an id with several texts, the least
+    once = table(spark, d, "tweets").where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
     return language.language_stretches(once, _profiles(spark, d), "id", "text").withColumn("confidence", F.round("confidence", 6))
 
 
@@ -162,6 +163,11 @@ WITH a AS (SELECT id AS tweet_id, max(author.id) AS author_id FROM tweets WHERE
 h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
 r AS (SELECT query_id, tweet_id, row_number() OVER (PARTITION BY query_id, author_id ORDER BY s DESC, tweet_id) AS place FROM h JOIN a USING (tweet_id))
 SELECT query_id, tweet_id FROM r WHERE place > 3"""
+ORACLE["p1_drawn"] = """
+WITH a AS (SELECT id AS tweet_id, max(author.id) AS author_id FROM tweets WHERE author.id <> '' GROUP BY id),
+h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),
+k AS (SELECT query_id, tweet_id, author_id, s - 10.0 * ln(-ln((CAST(CAST('0x' || substr(md5('7/' || tweet_id), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)) AS race FROM h JOIN a USING (tweet_id))
+SELECT query_id, tweet_id, author_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, author_id ORDER BY race DESC, tweet_id) AS place FROM k) WHERE place <= 3"""
 ORACLE["p1_share"] = """
 WITH a AS (SELECT id AS tweet_id, max(author.id) AS author_id FROM tweets WHERE author.id <> '' GROUP BY id),
 h AS (SELECT query_id, tweet_id, max(CASE WHEN score IS NULL OR CAST(score AS VARCHAR) = 'nan' THEN CAST('-infinity' AS DOUBLE) ELSE score END) AS s FROM scored_hits GROUP BY query_id, tweet_id),

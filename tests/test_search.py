@@ -44,19 +44,24 @@ def test_bm25_empty(spark):
 def test_filters(spark):
     df = frame(spark, post("1", "cat"), post("2", "cat", created="bad"), post("3", "cat", created="Sat Mar 01 00:00:00 +0000 2025"))
     q = spark.createDataFrame([(1, "cat", None, None, None), (2, "cat", 2025, None, None), (3, "cat", 2025, "03", None), (4, "cat", 2025, "05", "04"), (5, "cat", None, "03", None)], QUERIES)
-    got = rows(search.lexical(bm25.build(df), q, df), "query_id", "id")
+    got = rows(search.lexical(bm25.build(df), q), "query_id", "id")
     assert got == [(1, "1"), (1, "2"), (1, "3"), (2, "1"), (2, "3"), (3, "3")]
 
 
 def test_dense(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 2.0]), ("d", [2.0, 0.0])], "id string, v array<float>")
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, v array<double>")
-    got = rows(dense.top_k(q, v.repartition(3), 2), "query_id", "rnk", "id", "score")
+    for block in (100, 1):  # sent to the tasks, and as blocks that meet the rows' parts
+        check_dense(spark, q, v, block)
+
+
+def check_dense(spark, q, v, block):
+    got = rows(dense.top_k(q, v.repartition(3), 2, block), "query_id", "rnk", "id", "score")
     assert [(a, b, c, round(d, 6)) for a, b, c, d in got] == [(1, 1, "a", 1.0), (1, 2, "d", 1.0), (2, 1, "c", 1.0), (2, 2, "b", 0.8)]
-    scoped = spark.createDataFrame([(1, [2.0, 0.0], ["2025-01"]), (2, [0.0, 1.0], None), (3, [1.0, 0.0], [])], "query_id bigint, v array<double>, months array<string>")
-    dated = v.selectExpr("id", "v", "CASE id WHEN 'b' THEN '2025-01' WHEN 'c' THEN NULL ELSE '2025-02' END AS year_month")
-    assert rows(dense.top_k(scoped, dated, 2), "query_id", "id") == [(1, "b"), (2, "b"), (2, "c")]
-    assert rows(dense.top_k(scoped.where("query_id = 3"), dated, 2)) == []
+    scoped = spark.createDataFrame([(1, [2.0, 0.0], 1, 1), (2, [0.0, 1.0], None, None), (3, [1.0, 0.0], 1, 0)], "query_id bigint, v array<double>, first int, last int")
+    dated = v.selectExpr("id", "v", "CASE id WHEN 'b' THEN 1 WHEN 'c' THEN NULL ELSE 2 END AS month")
+    assert rows(dense.top_k(scoped, dated, 2, block), "query_id", "id") == [(1, "b"), (2, "b"), (2, "c")]
+    assert rows(dense.top_k(scoped.where("query_id = 3"), dated, 2, block)) == []
     assert dense.top_k(q.limit(0), v).count() == 0
 
 
@@ -187,7 +192,27 @@ def test_second_round(spark):
     df = frame(spark, post("1", "cat #dog"), post("2", "dog"), post("3", "bird"))
     q = spark.createDataFrame([(1, "cat", None, None, None)], QUERIES)
     index = bm25.build(df)
-    first = search.lexical(index, q, df).select("query_id", "id", "rnk")
-    both = search.second_round(first, q, graph.build(q, first, df).nodes, lambda x: search.lexical(index, x, df))
+    first = search.lexical(index, q).select("query_id", "id", "rnk")
+    both = search.second_round(first, q, graph.build(q, first, df).nodes, lambda x: search.lexical(index, x))
     got = {r.id: r["round"] for r in both.collect()}
     assert got["1"] == 1 and got["2"] == 2 and "3" not in got
+
+
+def test_a_kept_index_finds_the_same(spark, tmp_path):
+    df = frame(spark, post("1", "cat dog"), post("2", "cat"), post("3", "bird"))
+    q = spark.createDataFrame([(1, "cat dog", None, None, None), (2, "bird", 2025, "11", None)], QUERIES)
+    index = bm25.build(df)
+    want = rows(search.lexical(index, q))
+    bm25.save(index, str(tmp_path / "index"))
+    assert len(want) == 3 and rows(search.lexical(bm25.load(spark, str(tmp_path / "index")), q)) == want
+
+
+def test_pieces_number_a_group_as_one(spark):
+    from tidemark.operators import ordering
+
+    data = [(k, i) for k in ("a", "b", None) for i in range(500 if k == "a" else 3)]
+    df = spark.createDataFrame(data, "k string, n int").repartition(5)
+    got = rows(ordering.numbered(df, ["k"], ["n"]))
+    assert got == sorted(((k, n, n + 1) for k, n in data), key=repr)
+    assert rows(ordering.numbered(df, ["k"], ["n"], "total", F.col("n"))) == sorted(((k, n, n * (n + 1) // 2) for k, n in data), key=repr)
+    assert rows(ordering.word_budget(spark.createDataFrame([("q", 1, "a b"), ("q", 2, " c "), ("q", 3, "d e f"), ("q", 4, "g")], "q string, r int, t string"), ["q"], ["r"], "t", 5), "r", "words") == [(1, 2), (2, 3)]

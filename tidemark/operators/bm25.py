@@ -7,19 +7,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import dates, text
 from tidemark.storage import materialize
 
 #: Defaults of the Okapi form: saturation, length weight, and the floor of negative idf as a share of the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 200
+#: Words up to which a search names them to the scan of postings.
+FEW = 64
 
 
 @dataclass
 class Index:
-    """words (id, w, dl), postings (id, term, tf, dl), terms (term, df, idf), and the corpus size and mean length.
+    """words (id, w, dl), postings (id, term, tf, dl, month), terms (term, df, idf), and the corpus size and mean length.
 
-    The statistics are of all posts, whatever a query's filter.
+    The statistics are of all posts, whatever a query's filter; month is the
+    number of the post's month, null where its date can't be read.
     """
 
     words: DataFrame
@@ -36,12 +39,13 @@ def build(posts: DataFrame, ident: str = "id", body: str = "text", urls: str | N
     postings, and the ranker's check of what a post lacks.
     """
     whole = text.index_text(F.col(body), F.col(urls)) if urls else F.coalesce(F.col(body), F.lit(""))
-    words = posts.select(F.col(ident).cast("string").alias("id"), text.tokens(whole).alias("w")).withColumn("dl", F.size("w"))
+    month = dates.month_number(dates.month_key(F.col("created_at"))) if "created_at" in posts.columns else F.lit(None).cast("int")
+    words = posts.select(F.col(ident).cast("string").alias("id"), text.tokens(whole).alias("w"), month.alias("month")).withColumn("dl", F.size("w"))
     words = materialize(words, "words")
     size = words.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     n, total = int(size.n), int(size.t or 0)
     # each text counts its own words, so the table of single words is never shuffled
-    postings = words.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = words.select("id", "dl", "month", F.explode("w").alias("term")).groupBy("id", "dl", "month", "term").agg(F.count("*").alias("tf"))
     postings = materialize(postings, "postings")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw)
@@ -50,6 +54,20 @@ def build(posts: DataFrame, ident: str = "id", body: str = "text", urls: str | N
     return Index(words, postings, terms, n, total / n if n else 0.0)
 
 
+def save(index: Index, path: str) -> None:
+    """Keeps an index below a path; postings are sorted by term, so that a search of few words reads few of them."""
+    index.words.write.mode("overwrite").parquet(f"{path}/words")
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    index.words.sparkSession.createDataFrame([(index.docs, index.mean_length)], "docs bigint, mean_length double").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def load(spark, path: str) -> Index:
+    """The index that :func:`save` kept."""
+    size = spark.read.parquet(f"{path}/size").first()
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("words", "postings", "terms")), size.docs, size.mean_length)
+
+
 def query_terms(queries: DataFrame, query: str = "query_text", key: str = "query_id") -> DataFrame:
     """(query_id, term, qtf): words of each query, and how often it repeats them."""
     return queries.select(F.col(key).alias("query_id"), F.explode(text.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -58,15 +76,25 @@ def query_terms(queries: DataFrame, query: str = "query_text", key: str = "query
 def scores(index: Index, terms: DataFrame, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) of posts that share a word with the query.
 
-    Postings are scored once for each term that any query has, before they meet
-    the queries; allowed (query_id, id) restricts the queries it names.
+    terms (query_id, term, qtf[, first, last]): a query with a span of months
+    only meets postings of these, before anything is scored or summed; one whose
+    span is empty meets none.  Postings are weighed once for each term that any
+    query has.  allowed (query_id, id) restricts the same way.
     """
-    used = terms.select("term").distinct().join(index.terms, "term")
+    wanted = terms.select("term").distinct()
+    some = wanted.limit(FEW + 1).collect()  # at most FEW + 1 words
+    if len(some) <= FEW:  # the scan skips what other words have
+        near = F.col("term").isin([r.term for r in some])
+        used, postings = index.terms.where(near), index.postings.where(near)
+    else:
+        used, postings = wanted.join(index.terms, "term"), index.postings
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / F.lit(max(index.mean_length, 1e-12))))
-    weighed = index.postings.join(used, "term").select("id", "term", part.alias("part"))
-    found = weighed.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-    return restrict(found, allowed)
+    weighed = postings.join(used.select("term", "idf"), "term").select("id", "term", "month", part.alias("part"))
+    met = weighed.join(terms, "term")
+    if "first" in terms.columns:
+        met = met.where(F.col("first").isNull() | F.col("month").between(F.col("first"), F.col("last")))
+    return restrict(met, allowed).groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
 
 
 def restrict(found: DataFrame, allowed: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.bm25 import TOP, ranked
 
-#: Query vectors sent to the tasks at once; more queries take more passes.
+#: Query vectors up to which they are sent to all tasks, and vectors of a block beyond that.
 BLOCK = 8192
 
 
@@ -24,6 +24,7 @@ def usable(rows: DataFrame, ident: str, vector: str, dims: int, newest: str) ->
 
 
 def _matrix(arr: pa.Array) -> np.ndarray:
+    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
     return np.asarray(arr.flatten(), np.float64).reshape(len(arr), -1)
 
 
@@ -32,65 +33,89 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP) -> DataFrame:
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query: by score, ties by smaller id."""
+    order = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+    first = np.asarray(order["query_id"])
+    return order.filter(pa.array(np.arange(len(first)) - np.searchsorted(first, first) < k))
+
+
+def _numbers(arr, empty: int) -> np.ndarray:
+    return np.asarray(pc.fill_null(arr, empty)).astype(np.int64)
+
+
+class _Block:
+    """Unit vectors of some queries, with their spans of months."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = np.asarray(table["query_id"]).astype(np.int64)
+        self.unit = _unit(_matrix(table["v"].combine_chunks()))
+        self.open = np.asarray(pc.is_null(table["first"])) if "first" in table.column_names else np.ones(len(self.ids), bool)
+        self.first = _numbers(table["first"], 0) if "first" in table.column_names else None
+        self.last = _numbers(table["last"], 0) if "first" in table.column_names else None
+
+    def against(self, ids: pa.Array, x: np.ndarray, months: np.ndarray | None, k: int) -> pa.Table:
+        """The k best of some rows for each query; rows outside a query's months are masked before they are chosen."""
+        sims = np.round(_unit(x) @ self.unit.T, 9)
+        if not self.open.all():
+            m = months[:, None]
+            sims[~(self.open | (m >= self.first) & (m <= self.last))] = -np.inf
+        edge = -np.partition(-sims, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
+        r, c = np.nonzero((sims >= edge[None, :]) & (sims > -np.inf))
+        return pa.table({"query_id": pa.array(self.ids[c]), "id": ids.take(pa.array(r)).cast(pa.string()), "score": pa.array(sims[r, c])})
+
+
+_EMPTY = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rnk): of each (query_id, v) the k rows (id, v) of largest cosine; ties by smaller id.
 
-    Queries go to the tasks in blocks; a task multiplies its rows with a block
-    and sends on only the k best of each query.  Where queries have a column
-    ``months`` that is not null, only rows whose ``year_month`` is in it are
-    ranked; rows are masked before the best are chosen.
+    Up to ``block`` queries (a checked number) are sent to all tasks, and rows
+    stay where they are; more are numbered blocks that meet the rows' parts as
+    tables, without passing through the driver.  A task sends on the k best of
+    each query.  Where queries have columns (first, last) that are not null,
+    only rows with a ``month`` between them are ranked.
     """
     spark = rows.sparkSession
-    scoped = "months" in queries.columns
-    empty = "query_id bigint, id string, score double"
-
-    def part(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block], np.int64)
-        months = sorted({m for r in block if scoped and r.months is not None for m in r.months})
-        open_ = np.array([not scoped or r.months is None for r in block])
-        allow = np.tile(open_, (len(months) + 1, 1))  # the last row is of other months and none
-        for q, r in enumerate(block):
-            if not open_[q]:
-                allow[[months.index(m) for m in r.months], q] = True
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([list(r.v) for r in block], np.float64)), months, allow))
-
-        def best(table: pa.Table) -> pa.Table:
-            order = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
-            first = np.asarray(order["query_id"])
-            starts = np.searchsorted(first, first)
-            return order.filter(pa.array(np.arange(len(first)) - starts < k))
+    scoped = "first" in queries.columns
+    asked = queries.select("query_id", "v", *(["first", "last"] if scoped else []))
+    given = rows.select("id", "v", *(["month"] if scoped else []))
+    few = asked.limit(block + 1).toArrow()  # at most block + 1 vectors
+    if few.num_rows == 0:
+        return ranked(spark.createDataFrame([], "query_id bigint, id string, score double"), k)
+    if few.num_rows <= block:
+        shared = spark.sparkContext.broadcast(_Block(few))
 
         def run(batches):
-            qid, q, known, allowed = shared.value
-            kept: list[pa.Table] = []
+            own, kept, n = shared.value, [], 0
             for b in batches:
-                if b.num_rows == 0:
-                    continue
-                sims = np.round(_unit(_matrix(b.column(1))) @ q.T, 9)
-                if known:
-                    at = pc.index_in(b.column(2), pa.array(known)).fill_null(len(known)).to_numpy(zero_copy_only=False)
-                    sims[~allowed[at]] = -np.inf
-                elif not allowed.all():
-                    sims[:, ~allowed[0]] = -np.inf
-                keep = min(k, b.num_rows)
-                edge = -np.partition(-sims, keep - 1, axis=0)[keep - 1]
-                r, c = np.nonzero((sims >= edge[None, :]) & (sims > -np.inf))
-                kept.append(pa.table({"query_id": pa.array(qid[c]), "id": b.column(0).take(pa.array(r)), "score": pa.array(sims[r, c])}))
-                if sum(t.num_rows for t in kept) > 4 * k * len(qid) + 100_000:
-                    kept = [best(pa.concat_tables(kept))]
+                if b.num_rows:
+                    kept.append(own.against(b.column(0), _matrix(b.column(1)), _numbers(b.column(2), -1) if scoped else None, k))
+                    n += kept[-1].num_rows
+                    if n > 4 * k * len(own.ids) + 100_000:
+                        kept = [_best(pa.concat_tables(kept), k)]
+                        n = kept[0].num_rows
             if kept:
-                yield from best(pa.concat_tables(kept)).to_batches()
-
-        return rows.select("id", "v", *(["year_month"] if scoped else [])).mapInArrow(run, empty)
-
-    out, block = None, []
-    for r in queries.select("query_id", "v", *(["months"] if scoped else [])).orderBy("query_id").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = (part(block) if out is None else out.unionByName(part(block))), []
-    if block:
-        out = part(block) if out is None else out.unionByName(part(block))
-    return ranked(spark.createDataFrame([], empty) if out is None else out, k)
+                yield from _best(pa.concat_tables(kept), k).to_batches()
+
+        return ranked(given.mapInArrow(run, "query_id bigint, id string, score double"), k)
+    blocks = -(-asked.count() // block)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = asked.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = given.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(_, q: pa.Table, x: pa.Table) -> pa.Table:
+        if q.num_rows == 0 or x.num_rows == 0:
+            return _EMPTY.empty_table()
+        own, kept = _Block(q), _EMPTY.empty_table()
+        for i in range(0, x.num_rows, 10_000):
+            part = x.slice(i, 10_000).combine_chunks()
+            found = own.against(part["id"].combine_chunks(), _matrix(part["v"].combine_chunks()), _numbers(part["month"], -1) if scoped else None, k)
+            kept = _best(pa.concat_tables([kept, found]), k)
+        return kept
+
+    return ranked(left.groupBy("g", "p").cogroup(right.groupBy("g", "p")).applyInArrow(meet, "query_id bigint, id string, score double"), k)
 
 
 def embed(df: DataFrame, ident: str, text: str, call: Callable[[list[str]], list[list[float]]], batch: int = 32, placeholder: str = " ") -> DataFrame:

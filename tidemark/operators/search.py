@@ -15,32 +15,21 @@ TOP = 50
 SNIPPET = 240
 
 
-def filters(queries: DataFrame) -> DataFrame:
-    """(query_id, year_month) of the queries with a filter that makes sense, one row for each month meant."""
-    year, first, last = F.col("year_filter"), F.col("month_start").try_cast("int"), F.col("month_end").try_cast("int")
-    lo = F.coalesce(first, F.lit(1))
-    hi = F.when(F.col("month_start").isNull(), F.lit(12)).otherwise(F.coalesce(last, first))
-    good = year.isNotNull() & lo.between(1, 12) & hi.between(1, 12) & (lo <= hi) & (F.col("month_start").isNull() | first.isNotNull()) & (F.col("month_end").isNull() | (F.col("month_start").isNotNull() & last.isNotNull()))
-    months = F.transform(F.sequence(lo, hi), lambda m: F.format_string("%d-%02d", year, m))
-    return queries.where(good).select("query_id", F.explode(months).alias("year_month"))
-
-
-def filtered(queries: DataFrame) -> DataFrame:
-    return queries.where("year_filter IS NOT NULL OR month_start IS NOT NULL OR month_end IS NOT NULL")
+def spans(queries: DataFrame) -> DataFrame:
+    """(query_id, first, last): the month numbers each query's filter means; null without a filter, an empty span (1, 0) for one that makes no sense."""
+    year, start, end = F.col("year_filter"), F.col("month_start").try_cast("int"), F.col("month_end").try_cast("int")
+    bare = F.col("year_filter").isNull() & F.col("month_start").isNull() & F.col("month_end").isNull()
+    lo = F.when(F.col("month_start").isNull(), F.lit(1)).otherwise(start)
+    hi = F.when(F.col("month_start").isNull(), F.when(F.col("month_end").isNull(), F.lit(12))).otherwise(F.when(F.col("month_end").isNull(), start).otherwise(end))
+    good = F.coalesce(year.isNotNull() & lo.between(1, 12) & hi.between(1, 12) & (lo <= hi), F.lit(False))
+    at = lambda m, empty: F.when(bare, F.lit(None).cast("int")).when(good, year * 12 + m - 1).otherwise(empty).cast("int")
+    return queries.select("query_id", at(lo, 1).alias("first"), at(hi, 0).alias("last"))
 
 
-def in_scope(found: DataFrame, queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """found (query_id, id, ...) without the posts outside a query's months; queries without a filter keep all.
-
-    Queries whose filter makes no sense keep none.
-    """
-    wanted = filtered(queries).select("query_id", F.lit(True).alias("_filtered"))
-    months = filters(queries).withColumnRenamed("year_month", "_month")
-    some = found.join(wanted, "query_id", "left")
-    free = some.where("_filtered IS NULL").drop("_filtered")
-    dated = posts.select("id", dates.month_key(F.col("created_at")).alias("_month")).where("_month IS NOT NULL")
-    bound = some.where("_filtered").drop("_filtered").join(dated, "id").join(months, ["query_id", "_month"], "left_semi").drop("_month")
-    return free.unionByName(bound)
+def filters(queries: DataFrame) -> DataFrame:
+    """(query_id, year_month) of the queries with a filter that makes sense, one row for each month meant."""
+    some = spans(queries).where("first <= last")
+    return some.select("query_id", F.explode(F.sequence("first", "last")).alias("n")).select("query_id", F.format_string("%d-%02d", F.floor(F.col("n") / 12).cast("int"), F.col("n") % 12 + 1).alias("year_month"))
 
 
 def anchors(queries: DataFrame, now: datetime) -> DataFrame:
@@ -53,20 +42,16 @@ def anchors(queries: DataFrame, now: datetime) -> DataFrame:
     return queries.withColumn("anchor", F.when(F.col("year_filter").isNull(), F.lit(now)).otherwise(end))
 
 
-def lexical(index: bm25.Index, queries: DataFrame, posts: DataFrame, top: int = bm25.TOP) -> DataFrame:
+def lexical(index: bm25.Index, queries: DataFrame, top: int = bm25.TOP) -> DataFrame:
     """(query_id, id, score, rnk) by BM25, filters first."""
-    return bm25.ranked(in_scope(bm25.scores(index, bm25.query_terms(queries)), queries, posts), top)
+    terms = bm25.query_terms(queries).join(spans(queries), "query_id")
+    return bm25.ranked(bm25.scores(index, terms), top)
 
 
 def dense_hits(query_vectors: DataFrame, rows: DataFrame, queries: DataFrame, posts: DataFrame, top: int = bm25.TOP) -> DataFrame:
     """(query_id, id, score, rnk) by cosine, filters first: queries without one rank all rows, the others their months' rows."""
-    months = filters(queries).groupBy("query_id").agg(F.collect_list("year_month").alias("_months"))  # at most twelve of a query
-    wanted = filtered(queries).select("query_id", F.lit(True).alias("_filtered"))
-    none = F.array().cast("array<string>")
-    scoped = query_vectors.join(wanted, "query_id", "left").join(months, "query_id", "left")
-    scoped = scoped.select("query_id", "v", F.when(F.col("_filtered"), F.coalesce("_months", none)).alias("months"))
-    dated = rows.join(posts.select("id", dates.month_key(F.col("created_at")).alias("year_month")), "id", "left")
-    return dense.top_k(scoped, dated, top)
+    month = dates.month_number(dates.month_key(F.col("created_at")))
+    return dense.top_k(query_vectors.join(spans(queries), "query_id"), rows.join(posts.select("id", month.alias("month")), "id", "left"), top)
 
 
 def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: DataFrame, now: datetime, query_vectors: DataFrame | None = None, rows: DataFrame | None = None, top: int = TOP, weights: ranking.Weights = ranking.Weights()) -> DataFrame:
@@ -77,7 +62,7 @@ def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: Da
     without a vector are searched by words alone, and without words by vector.
     """
     # both are used more than once, and have at most 200 rows for a query
-    by_words = materialize(lexical(index, queries, posts), "lexical")
+    by_words = materialize(lexical(index, queries), "lexical")
     if query_vectors is not None:
         near = materialize(dense_hits(query_vectors, rows, queries, posts), "dense")
         fused = ranking.fuse([near, by_words]).select("query_id", "id").join(near.select("query_id", "id", F.col("score").alias("cos")), ["query_id", "id"], "left")

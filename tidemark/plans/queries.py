@@ -82,30 +82,37 @@ def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
     return bm25.build(_posts(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame, DataFrame]:
-    """Queries, posts, index, query vectors and rows of a hybrid search; in the place of a query's embedding stands its best hit's vector."""
-    posts = materialize(_posts(spark, d), "posts")
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Query vectors and rows of a dense search; in the place of a query's embedding stands its best hit's vector."""
     rows = materialize(dense.usable(table(spark, d, "corpus_embeddings").where("model_name = 'arch-embed-2'"), "tweet_id", "vector", 96, "row_idx"), "rows")
     queries = table(spark, d, "search_queries")
-    best = table(spark, d, "scored_hits").where("score IS NOT NULL AND NOT isnan(score)").select("query_id", F.col("tweet_id").alias("id"), "score").join(rows.select("id"), "id", "left_semi")
-    best = best.groupBy("query_id").agg(F.max("score").alias("score")).join(best, ["query_id", "score"]).groupBy("query_id").agg(F.min("id").alias("id"))
+    hits = table(spark, d, "scored_hits").where("score IS NOT NULL AND NOT isnan(score)").select("query_id", F.col("tweet_id").alias("id"), "score")
+    known = hits.join(rows.select("id"), "id", "left_semi")
+    # the best score of a query, and of its hits the smallest id
+    best = known.groupBy("query_id", "score").agg(F.min("id").alias("id")).groupBy("query_id").agg(F.max_by("id", "score").alias("id"))
     asked = best.join(queries.select("query_id"), "query_id", "left_semi").join(rows, "id").select("query_id", "v")
-    return queries, posts, bm25.build(posts), asked, rows
+    return asked, rows
 
 
-def search_bm25(spark: SparkSession, d: str) -> DataFrame:
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame, DataFrame]:
+    """Queries, posts, index, query vectors and rows of a hybrid search."""
     posts = materialize(_posts(spark, d), "posts")
-    return search.lexical(bm25.build(posts), table(spark, d, "search_queries"), posts).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
+    return table(spark, d, "search_queries"), posts, bm25.build(posts), *_vectors(spark, d)
+
+
+def search_bm25(spark: SparkSession, d: str) -> DataFrame:
+    index = bm25.build(_posts(spark, d))
+    return search.lexical(index, table(spark, d, "search_queries")).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
 
 
 def search_dense(spark: SparkSession, d: str) -> DataFrame:
-    queries, posts, _, asked, rows = _parts(spark, d)
-    return search.dense_hits(asked, rows, queries, posts).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
+    asked, rows = _vectors(spark, d)
+    return search.dense_hits(asked, rows, table(spark, d, "search_queries"), _posts(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"), "rnk")
 
 
 def search_fused(spark: SparkSession, d: str) -> DataFrame:
     queries, posts, index, asked, rows = _parts(spark, d)
-    near, words = search.dense_hits(asked, rows, queries, posts), search.lexical(index, queries, posts)
+    near, words = search.dense_hits(asked, rows, queries, posts), search.lexical(index, queries)
     return ranking.fuse([near, words]).withColumn("fused", F.round("fused", 9))
 
 

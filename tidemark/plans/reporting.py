@@ -119,9 +119,9 @@ def search_second_round(spark: SparkSession, d: str) -> DataFrame:
     posts = materialize(_posts(spark, d), "posts")
     index = bm25.build(posts)
     queries = table(spark, d, "search_queries").select("query_id", "query_text", "year_filter", "month_start", "month_end")
-    first = materialize(search.lexical(index, queries, posts, 20).select("query_id", "id", "rnk"), "hits")
+    first = materialize(search.lexical(index, queries, 20).select("query_id", "id", "rnk"), "hits")
     nodes = graph.build(queries, first, posts).nodes
-    return search.second_round(first, queries, nodes, lambda q: search.lexical(index, q, posts, 20))
+    return search.second_round(first, queries, nodes, lambda q: search.lexical(index, q, 20))
 
 
 _CHUNKS = f"""chunks AS (SELECT {O._month('created_at')} AS year_month, id, CAST((row_number() OVER (PARTITION BY {O._month('created_at')} ORDER BY id) - 1) // 30 AS INT) AS chunk FROM posts WHERE {O._month('created_at')} IS NOT NULL)"""

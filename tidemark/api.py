@@ -10,14 +10,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates
-from tidemark.operators import bm25, graph, network, posts as P, reports, search
+from tidemark.functions import dates, text
+from tidemark.operators import bm25, entities, graph, network, posts as P, reports, search, walking
+from tidemark.sources import archive
 from tidemark.storage import materialize
 
 
+#: Results that reasons are asked for.
+EXPLAINED = 20
+
+
 class ToolError(Exception):
     """category: invalid_input, not_found or upstream_failure."""
 
@@ -50,7 +56,14 @@ def check_filter(year=None, month_start=None, month_end=None) -> None:
 
 @dataclass
 class Archive:
-    """The tables tools work on.  embed turns texts into vectors, rows holds (id, v); without them search is by words."""
+    """The tables tools work on, and the calls they may make.
+
+    embed turns texts into vectors, rows holds (id, v); without them search is
+    by words.  chat answers a prompt, fetch gets a page (final URL, content
+    type, body), judge names the entities of a list that matter to a query.
+    pages are saved bodies (url_key, url, final_url, content_type,
+    sanitized_markdown, fetched_at), index_path is where the index is kept.
+    """
 
     posts: DataFrame
     deliveries: DataFrame
@@ -59,6 +72,11 @@ class Archive:
     embed: Callable[[list[str]], list[list[float]]] | None = None
     tree: DataFrame | None = None
     now: Callable[[], datetime] = field(default=lambda: datetime.now(UTC))
+    chat: Callable[[str], str] | None = None
+    fetch: Callable[[str], tuple[str, str, str] | None] | None = None
+    judge: Callable[[str, list[str]], list[str]] | None = None
+    pages: DataFrame | None = None
+    index_path: str | None = None
     _index: bm25.Index | None = None
 
     @staticmethod
@@ -67,8 +85,17 @@ class Archive:
 
     @property
     def index(self) -> bm25.Index:
+        """The index: of this archive object, else the one kept at index_path if it is of as many posts, else a new one, which is kept."""
+        if self._index is None and self.index_path:
+            try:
+                kept = bm25.load(self.posts.sparkSession, self.index_path)
+                self._index = kept if kept.docs == self.posts.count() else None
+            except AnalysisException:  # none is kept
+                pass
         if self._index is None:
             self._index = bm25.build(self.posts)
+            if self.index_path:
+                bm25.save(self._index, self.index_path)
         return self._index
 
     def _queries(self, texts: list[str], year, month_start, month_end) -> DataFrame:
@@ -87,12 +114,28 @@ class Archive:
                 print(f"search: no vectors ({e}); by words only", file=sys.stderr)
         return search.search(queries, self.posts, self.index, P.author_affinity(self.deliveries), self.now(), vectors, self.rows, top)
 
-    def search_likes(self, query: str, year=None, month_start=None, month_end=None, top: int = search.TOP) -> list[dict]:
-        """Posts for a query, best first."""
+    def search_likes(self, query: str, year=None, month_start=None, month_end=None, with_why: bool = False, top: int = search.TOP) -> list[dict]:
+        """Posts for a query, best first; with_why asks the chat call for reasons of the first twenty, and goes without if it fails."""
         check_filter(year, month_start, month_end)
         hits = self.find(self._queries([check_query(query)], year, month_start, month_end), top)
         shown = search.shaped(hits, self.posts, self.tree).orderBy("rnk").drop("query_id", "rnk")
-        return [r.asDict(recursive=True) for r in shown.collect()]  # at most top rows
+        results = [r.asDict(recursive=True) for r in shown.collect()]  # at most top rows
+        if with_why and results:
+            said = self._reasons(query, results[:EXPLAINED])
+            for r in results[:EXPLAINED]:
+                r["why"] = said.get(r["tweet_id"], r["why"])
+        return results
+
+    def _reasons(self, query: str, results: list[dict]) -> dict[str, str]:
+        """Reasons by id; none where the call is missing, fails, or answers something else."""
+        if self.chat:
+            part = "\n".join(f"[id={r['tweet_id']}] @{r['handle']}: {r['snippet']}" for r in results)
+            try:
+                hits = walking.valid_hits(walking.parse_answer(self.chat(walking.prompt(query, part))), {r["tweet_id"] for r in results})
+                return {i: why for i, _, why in hits}
+            except Exception as e:
+                print(f"search: no reasons ({e})", file=sys.stderr)
+        return {}
 
     def list_months(self) -> list[dict]:
         """Months that have a file, newest first, with their posts."""
@@ -119,16 +162,27 @@ class Archive:
         return json.loads(row.post)
 
     def graph_of(self, query: str, hits: DataFrame) -> tuple[list[dict], list[dict]]:
+        """Nodes and edges of a search, without the entities that the judging call leaves out."""
         q = self._queries([query], None, None, None)
         g = graph.build(q, hits, self.posts)
+        if self.judge:
+            named = [r.id for r in g.nodes.where(F.col("kind").isin(list(entities.KINDS))).orderBy("seq").select("id").collect()]  # of one search
+            if len(named) > 1:
+                try:
+                    keep = set(self.judge(query, named))
+                    rows = [(0, i) for i in named if i in keep] or [(0, "")]
+                    g = graph.relevant(g, q.sparkSession.createDataFrame(rows, "query_id bigint, id string"))
+                except Exception as e:
+                    print(f"report: all entities stay ({e})", file=sys.stderr)
         nodes = [r.asDict() for r in g.nodes.orderBy("seq").drop("seq", "query_id").collect()]  # of one search
         edges = [r.asDict() for r in g.edges.orderBy("seq").drop("seq", "query_id").collect()]
         return nodes, edges
 
-    def synthesize_likes(self, query: str, report_shape: str = "brief", hops: int = 1, year=None, month_start=None, month_end=None, limit: int = 50, pages: DataFrame | None = None, model: Callable[[str, str, str], reports.Report] | None = None) -> dict:
+    def synthesize_likes(self, query: str, report_shape: str = "brief", hops: int = 1, year=None, month_start=None, month_end=None, limit: int = 50, fetch_urls: bool = False, pages: DataFrame | None = None, model: Callable[[str, str, str], reports.Report] | None = None) -> dict:
         """A report of a search: its Markdown, and what it used.
 
-        pages (url, final_url, sanitized_markdown) are bodies of resolved URLs; model makes
+        pages (url, final_url, sanitized_markdown) are bodies of resolved URLs; with
+        fetch_urls they are the saved ones and those the fetch call gets; model makes
         a Report of (query, shape, context), and is asked once more if it cites
         sources the context doesn't have.
         """
@@ -153,8 +207,10 @@ class Archive:
             return {"markdown": reports.empty(query, filters), "shape": report_shape, "used_hops": 1, "fetched_url_count": 0}
         nodes, edges = self.graph_of(query, hits)
         bodies = []
+        urls = network.distinct_urls(hits.join(self.posts.select("id", "urls"), "id")).orderBy("place").select("url", "place")
+        if pages is None and fetch_urls:
+            pages = self.bodies(urls)
         if pages is not None:
-            urls = network.distinct_urls(hits.join(self.posts.select("id", "urls"), "id")).orderBy("place").select("url", "place")
             bodies = [(r.final_url, r.sanitized_markdown) for r in urls.join(pages, "url").orderBy("place").collect()]
         made = None
         if model:
@@ -167,6 +223,33 @@ class Archive:
         return {"markdown": reports.render(report_shape, query, shown, nodes, edges, made, filters), "shape": report_shape, "used_hops": hops, "fetched_url_count": len(bodies)}
 
 
+    def bodies(self, urls: DataFrame) -> DataFrame | None:
+        """(url, final_url, sanitized_markdown): saved pages of these URLs that are not too old, and those the fetch call gets, which are saved too."""
+        spark, moment = self.posts.sparkSession, self.now().timestamp()
+        saved = archive.cached(self.pages, urls, F.lit(moment)) if self.pages is not None else None
+        if self.fetch is None:
+            return saved
+        asked = urls.select("url") if saved is None else urls.select("url").join(saved.select("url"), "url", "left_anti")
+        got = materialize(network.fetch(asked, self.fetch), "pages")
+        kind = F.lower(F.trim(F.split(F.coalesce("content_type", F.lit("")), ";")[0]))
+        good = got.where(kind.isin(list(network.CONTENT_TYPES)))
+        new = good.select(F.sha2("url", 256).alias("url_key"), "url", "final_url", "content_type", text.sanitized(F.col("body")).alias("sanitized_markdown"), F.lit(moment).alias("fetched_at"))
+        if self.pages is None:
+            self.pages = materialize(new, "cache")
+        else:
+            self.pages = materialize(archive.put_pages(self.pages, new.drop("url_key")), "cache")
+        return archive.cached(self.pages, urls, F.lit(moment)).select("url", "final_url", "sanitized_markdown")
+
+    def mindmap(self, query: str, year=None, month_start=None, month_end=None, as_json: bool = False) -> str:
+        """The graph of a search, as a mind map or as JSON."""
+        check_filter(year, month_start, month_end)
+        query = check_query(query)
+        nodes, edges = self.graph_of(query, materialize(self.find(self._queries([query], year, month_start, month_end)), "hits"))
+        if as_json:
+            return json.dumps({"nodes": sorted(nodes, key=lambda n: n["id"]), "edges": edges}, ensure_ascii=False)
+        return reports.mindmap(query, nodes, edges)
+
+
 def call_tool(archive: Archive, name: str, arguments: dict) -> dict:
     """A tool's result, or {error: {category, message}}; what is no ToolError counts as upstream_failure."""
     tools = {
@@ -187,18 +270,26 @@ def call_tool(archive: Archive, name: str, arguments: dict) -> dict:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Command line over a Parquet table of posts: search, months, read, report, export, stats.  0, or 2 for bad input."""
+    """Command line over a Parquet table of posts: one of init, search, kg, report, report-optimize, months, read, stats, export.  0, or 2 for bad input."""
     from tidemark.session import local
     from tidemark.sources import sinks
 
     parser = argparse.ArgumentParser(prog="tidemark")
     parser.add_argument("posts", help="Parquet table of posts (deliveries)")
-    parser.add_argument("--search", metavar="QUERY")
-    parser.add_argument("--report", metavar="SHAPE", choices=reports.SHAPES)
+    mode = parser.add_mutually_exclusive_group(required=True)
+    mode.add_argument("--init", action="store_true", help="build the index and keep it at --index")
+    mode.add_argument("--search", metavar="QUERY")
+    mode.add_argument("--kg", metavar="QUERY", help="the graph of a search, as a mind map or (--json) as JSON")
+    mode.add_argument("--report", metavar="SHAPE", choices=reports.SHAPES)
+    mode.add_argument("--report-optimize", metavar="DEMOS", help="check the labelled examples of a file; fitting needs a model")
+    mode.add_argument("--read", metavar="ID")
+    mode.add_argument("--stats", action="store_true")
+    mode.add_argument("--export", metavar="FOLDER")
     parser.add_argument("--query", metavar="QUERY")
-    parser.add_argument("--read", metavar="ID")
-    parser.add_argument("--stats", action="store_true")
-    parser.add_argument("--export", metavar="FOLDER")
+    parser.add_argument("--index", metavar="FOLDER")
+    parser.add_argument("--json", action="store_true")
+    parser.add_argument("--with-why", action="store_true")
+    parser.add_argument("--fetch-urls", action="store_true")
     parser.add_argument("--hops", type=int, default=1)
     parser.add_argument("--year", type=int)
     parser.add_argument("--month-start")
@@ -210,21 +301,36 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(e.code or 0)
     spark = spark or local()
     tweets = spark.read.parquet(a.posts)
-    archive = Archive.of_tweets(tweets)
+    own = Archive.of_tweets(tweets, index_path=a.index)
     span = {"year": a.year, "month_start": a.month_start, "month_end": a.month_end}
-    if a.search:
-        out = call_tool(archive, "search_likes", {"query": a.search, "top": a.limit, **span})
+    if a.init:
+        if not a.index:
+            parser.print_usage(sys.stderr)
+            return 2
+        out = {"posts": own.index.docs, "index": a.index}
+    elif a.search:
+        out = call_tool(own, "search_likes", {"query": a.search, "top": a.limit, "with_why": a.with_why, **span})
+        if "results" in out:
+            for n, r in enumerate(out["results"], 1):
+                print(json.dumps(r, ensure_ascii=False, default=str) if a.json else f"{n}. @{r['handle']} {r['tweet_url']} [{r['score']:.3f}]\n   {r['snippet']}" + (f"\n   {r['why']}" if r["why"] else ""))
+            return 0
+    elif a.kg:
+        try:
+            out = {"markdown": own.mindmap(a.kg, **span, as_json=a.json)}
+        except ToolError as e:
+            out = {"error": {"category": e.category, "message": str(e)}}
     elif a.report:
-        out = call_tool(archive, "synthesize_likes", {"query": a.query or "", "report_shape": a.report, "hops": a.hops, **span})
+        out = call_tool(own, "synthesize_likes", {"query": a.query or "", "report_shape": a.report, "hops": a.hops, "fetch_urls": a.fetch_urls, **span})
+    elif a.report_optimize:
+        out = {"examples": archive.load_demos(spark, a.report_optimize).count()}
+        if not out["examples"]:
+            out = {"error": {"category": "invalid_input", "message": "no labelled examples"}}
     elif a.read:
-        out = call_tool(archive, "read_tweet", {"tweet_id": a.read})
+        out = call_tool(own, "read_tweet", {"tweet_id": a.read})
     elif a.stats:
         out = P.stats(tweets).first().asDict()
-    elif a.export:
-        out = sinks.export_all(archive.posts, a.export, archive.now().strftime("%Y-%m-%d %H:%M:%S"))
     else:
-        parser.print_usage()
-        return 2
+        out = sinks.export_all(own.posts, a.export, own.now().strftime("%Y-%m-%d %H:%M:%S"))
     if "error" in out:
         print(json.dumps(out), file=sys.stderr)
         return 2

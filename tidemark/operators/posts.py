@@ -19,6 +19,12 @@ def latest(tweets: DataFrame) -> DataFrame:
     return best.select("id", "_best.*").select(*tweets.columns)
 
 
+def newest_by_id(rows: DataFrame, order: Column) -> DataFrame:
+    """One row for each id, that with the largest order; orders of an id must differ for a definite result."""
+    best = rows.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), order).alias("_best"))
+    return best.select("id", "_best.*").select(*rows.columns)
+
+
 def with_month(posts: DataFrame) -> DataFrame:
     """posts with ``year_month`` (null where the date can't be read)."""
     return posts.withColumn("year_month", dates.month_key(F.col("created_at")))

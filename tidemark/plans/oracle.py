@@ -14,7 +14,7 @@ _EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
 _DATE = "(Mon|Tue|Wed|Thu|Fri|Sat|Sun) [A-Z][a-z]{2} [0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4} [0-9]{4}"
 
 _POSTS = """posts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, view_count DESC NULLS LAST,
-  favorite_count DESC NULLS LAST, retweet_count DESC NULLS LAST, reply_count DESC NULLS LAST, quote_count DESC NULLS LAST) AS _rn
+  favorite_count DESC NULLS LAST, retweet_count DESC NULLS LAST, reply_count DESC NULLS LAST, quote_count DESC NULLS LAST, created_at DESC NULLS LAST, text DESC NULLS LAST) AS _rn
   FROM tweets WHERE id IS NOT NULL) WHERE _rn = 1)"""
 
 
@@ -196,7 +196,7 @@ SELECT doc_id, regexp_extract(s, 'https?://x[.]example/([^/\s)]*)/status/([0-9]+
     "vector_norms": "SELECT row_idx, len(vector) AS dims, round(sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 6) AS norm FROM corpus_embeddings WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0",
     "resume_merge": "WITH saved AS (SELECT id, fetched_at FROM tweets WHERE fetched_at < TIMESTAMP '2025-12-01'), arrived AS (SELECT id, fetched_at FROM tweets WHERE fetched_at >= TIMESTAMP '2025-12-01') SELECT id, CAST(fetched_at AS VARCHAR) AS fetched_at FROM saved UNION ALL SELECT id, CAST(fetched_at AS VARCHAR) FROM arrived WHERE id NOT IN (SELECT id FROM saved WHERE id IS NOT NULL)",
     "posts_popular": f"WITH {_POSTS} SELECT id, favorite_count, len(media) AS media FROM posts WHERE len(media) > 0 AND favorite_count > 100 AND {_time('created_at')} > TIMESTAMP '2025-01-01'",
-    "stream_languages": "SELECT lang, count(DISTINCT id) AS posts FROM tweets WHERE fetched_at IS NOT NULL GROUP BY lang",
+    "stream_languages": "SELECT lang, count(*) AS posts FROM (SELECT id, any_value(lang) AS lang FROM tweets WHERE id IS NOT NULL GROUP BY id) GROUP BY lang",
     "hits_by_month": f"WITH {_POSTS} SELECT h.query_id, coalesce({_month('p.created_at')}, 'unknown') AS year_month, count(*) AS hits FROM (SELECT DISTINCT query_id, tweet_id FROM scored_hits) h JOIN posts p ON p.id = h.tweet_id GROUP BY 1, 2",
 }
 

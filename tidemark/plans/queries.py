@@ -196,10 +196,10 @@ def stream_languages(spark: SparkSession, d: str) -> DataFrame:
     """Posts of each label, from a stream that takes each id once."""
     given = table(spark, d, "tweets")
     # a pattern, so that the table may be one file or a folder
-    stream = spark.readStream.schema(given.schema).parquet(f"{d}/tweets.parque?").select("id", "lang", F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("fetched_at IS NOT NULL")
+    stream = spark.readStream.schema(given.schema).parquet(f"{d}/tweets.parque?").select("id", "lang", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     home = scratch(spark, "stream")
-    ingest.sink(ingest.new_deliveries(stream, "3650 days"), f"{home}/posts", f"{home}/checkpoint").awaitTermination()
-    return spark.read.schema("id string, lang string, fetched_at timestamp").parquet(f"{home}/posts").groupBy("lang").agg(F.count("*").alias("posts"))
+    ingest.taken(stream, "id", ("fetched_at", "lang"), f"{home}/posts", f"{home}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{home}/posts").groupBy("lang").agg(F.count("*").alias("posts"))
 
 
 QUERIES: dict[str, Query] = {

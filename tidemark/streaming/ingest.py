@@ -116,28 +116,34 @@ def read_pages(spark: SparkSession, folder: str, each: int = 20) -> DataFrame:
     return spark.readStream.format("saved_pages").option("path", folder).option("each", str(each)).load()
 
 
-def new_posts(stream: DataFrame, saved: str, checkpoint: str) -> StreamingQuery:
-    """Appends the posts of a stream of pages to a Parquet table, each id once (its first delivery), until nothing new is there.
+def taken(stream: DataFrame, key: str, order: tuple[str, ...], saved: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Appends the rows that parse makes of a stream to a Parquet table, each key once (its first row by order), until nothing new is there.
 
     What has been taken is the table itself: each batch is joined against its
-    ids, so the stream keeps no state that grows.  A batch that is repeated
-    after a failure replaces what it had written.
+    keys, so the stream keeps no state that grows, and rows of any age count.  A
+    batch that is repeated after a failure replaces what it had written.  Null
+    keys are left out; orders of a key in a batch must differ for a definite row.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        posts = archive.page_posts(batch)
-        first = posts.groupBy("id").agg(F.min(F.struct("page", "i", "j")).alias("_at"))
-        one = posts.join(first, "id").where(F.struct("page", "i", "j") == F.col("_at")).drop("_at")
+        rows = parse(batch).where(F.col(key).isNotNull())
+        one = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("_one")).select(key, "_one.*").select(*rows.columns)
         there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved)
         if number and there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-            old = spark.read.schema("id string, batch bigint").parquet(saved).where(F.col("batch") < number)
-            one = one.join(old.select("id"), "id", "left_anti")
+            kind = rows.schema[key].dataType.simpleString()
+            old = spark.read.schema(f"`{key}` {kind}, batch bigint").parquet(saved).where(F.col("batch") < number)
+            one = one.join(old.select(key), key, "left_anti").select(*rows.columns)
         one.write.mode("overwrite").parquet(f"{saved}/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def new_posts(stream: DataFrame, saved: str, checkpoint: str) -> StreamingQuery:
+    """The posts of a stream of pages, each id once, in a Parquet table (see :func:`taken`)."""
+    return taken(stream, "id", ("page", "i", "j"), saved, checkpoint, archive.page_posts)
+
+
 def new_deliveries(stream: DataFrame, delay: str = "30 days") -> DataFrame:
     """A stream of posts with fetched_at, each id once within the delay; state older than that is dropped."""
     return stream.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])

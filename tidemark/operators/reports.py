@@ -14,6 +14,7 @@ from collections import defaultdict
 
 from tidemark.functions.text import ANSI, FENCES, NEUTRAL
 
+#: The shapes of reports.  Headings and the sentences that stand for missing parts below are fixed output, too.
 SHAPES = ("brief", "synthesis", "trend")
 CATEGORIES = (("Handles", "handle"), ("Hashtags", "hashtag"), ("Domains", "domain"), ("Concepts", "concept"))
 _ANSI = re.compile(ANSI)

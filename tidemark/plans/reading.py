@@ -135,7 +135,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     user = F.struct(c("author.id").alias("rest_id"), F.struct(F.when(c("author.verified"), c("author.screen_name")).alias("screen_name"), c("author.name").alias("name")).alias("core"), F.struct(c("author.screen_name").alias("screen_name"), c("author.followers_count").alias("followers_count")).alias("legacy"))
     result = F.struct(c("id").alias("rest_id"), legacy.alias("legacy"), F.struct(F.struct(user.alias("result")).alias("user_results")).alias("core"), F.struct(c("view_count").cast("string").alias("count")).alias("views"), F.when(c("is_quote"), F.struct(F.lit("x").alias("rest_id"))).alias("quoted_status_result"))
     item = F.struct(F.struct(F.lit("TimelineTimelineItem").alias("entryType"), F.struct(F.struct(result.alias("result")).alias("tweet_results")).alias("itemContent")).alias("content"))
-    place = F.pmod(F.crc32(F.col("id")), F.lit(pages))
+    place = F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("bigint"), F.lit(pages))
     entries = t.select(F.format_string("%012d", place).alias("page"), F.to_json(item).alias("e")).groupBy("page").agg(F.concat_ws(",", F.array_sort(F.collect_list("e"))).alias("e"))
     cursor = F.concat(F.lit('{"content":{"entryType":"TimelineTimelineCursor","cursorType":"Top","value":"t"}},{"content":{"entryType":"TimelineTimelineCursor","cursorType":"Bottom","value":"after-'), F.col("page"), F.lit('"}}'))
     whole = F.concat(F.lit('{"data":{"user":{"result":{"timeline":{"timeline":{"instructions":[{"type":"Other"},{"type":"TimelineAddEntries","entries":['), F.col("e"), F.lit(","), cursor, F.lit("]}]}}}}}}"))
@@ -151,7 +151,7 @@ def pages_parsed(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "text", F.col("user.id").alias("user_id"), F.col("user.screen_name").alias("screen_name"), F.col("user.name").alias("name"), F.col("user.followers_count").alias("followers_count"), "favorite_count", "view_count", "lang", "is_retweet", "is_quote", F.array_join("urls", " ").alias("urls"), F.array_join("hashtags", " ").alias("hashtags"), F.size("media").alias("media"), "conversation_id")
 
 
-@registered()
+@registered("""WITH t AS (SELECT id FROM tweets WHERE id IS NOT NULL), n AS (SELECT greatest(1, count(*) // 20) AS pages FROM t), p AS (SELECT DISTINCT printf('%012d', CAST('0x' || substr(md5(id), 1, 6) AS BIGINT) % pages) AS page FROM t, n) SELECT page, 'after-' || page AS cursor FROM p""")
 def page_cursors(spark: SparkSession, d: str) -> DataFrame:
     """The cursor to the next page of each page."""
     return archive.page_cursors(_pages(spark, d))

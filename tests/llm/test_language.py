@@ -40,7 +40,8 @@ def test_table_equals_bundles(profiles):
     for r in (0, 1):
         bundle = L.gram_vectors(code[row == r], 3, profiles.dims).astype(float).sum(axis=0)
         assert np.allclose(sums[r], profiles.prototypes[3] @ bundle, rtol=1e-3, atol=1e-2)
-        assert weight[r] == (row == r).sum()
+        assert weight[r] == (np.unique(code[row == r], return_counts=True)[1] ** 2).sum()
+        assert abs((bundle @ bundle) / (profiles.dims * weight[r]) - 1) < 0.3  # near orthogonality
 
 
 def test_languages(spark, profiles):
@@ -89,3 +90,12 @@ def test_held_out_accuracy(spark):
     sums, _ = L.similarities(p, *L.spoken(pa.array([r["text"] for r in rest])))
     right = [p.languages[k] == r["lang"] for k, r in zip(sums.argmax(axis=1), rest, strict=True)]
     assert sum(right) / len(right) >= 0.9
+
+
+def test_repeats_count_squared(profiles):
+    """A text of one word over and over has the norm of its bundle, not that of as many different n-grams."""
+    cps, off = L.spoken(pa.array(["bla " * 50]))
+    _, weight = L.similarities(profiles, cps, off)
+    code, _ = L.grams(*L.padded(*L.letters_only(cps, off)), 3)
+    bundle = L.gram_vectors(code, 3, profiles.dims).astype(float).sum(axis=0)
+    assert weight[0] > 5 * len(code) and abs((bundle @ bundle) / (profiles.dims * weight[0]) - 1) < 0.3

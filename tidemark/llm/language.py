@@ -54,6 +54,8 @@ def gram_vectors(codes: np.ndarray, n: int, dims: int) -> np.ndarray:
 
 #: Labelled rows of each language that the profiles are fitted on, at most about this many.
 SAMPLE = 2500
+#: Bytes of the labelled rows of each language that the profiles are fitted on, on average at most.
+SAMPLE_BYTES = 4_000_000
 #: A sentence needs so many words to count as whole beside the text's main language.
 WHOLE = 6
 #: A sentence is of another language than its text's if its cosine is larger by so much.
@@ -248,7 +250,7 @@ def primary(label):
 def fit(samples: DataFrame, labelled: DataFrame, ident: str, text: str, lang: str, per_language: int = SAMPLE) -> Profiles:
     """Profiles from sample sentences (lang, text), refined on a bounded sample of labelled rows.
 
-    The bound is per_language rows of each language, taken by a hash of the id;
+    The bound is per_language rows and SAMPLE_BYTES of each language, taken by a hash of the id;
     of these only sentences count whose label the first profiles agree with.
     """
     first = [(r.lang, r.text) for r in samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").collect()]
@@ -256,10 +258,12 @@ def fit(samples: DataFrame, labelled: DataFrame, ident: str, text: str, lang: st
         raise ValueError("no sample sentences")
     profiles = train(first)
     rows = labelled.select(F.col(ident).alias("id"), F.col(text).alias("text"), primary(F.col(lang)).alias("lang")).where(F.col("lang").isin(profiles.languages) & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # one row for each language; every step-th row is taken
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    sizes = {r.lang: max(-(-r.n // per_language), -(-r.bytes // SAMPLE_BYTES), 1) for r in per}
     if not sizes:
         return profiles
-    step = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // per_language))])
+    step = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, n)])
     got = rows.where(F.pmod(F.xxhash64("id"), step[F.col("lang")]) == 0).select("lang", "text").toArrow()
     label = np.array(got["lang"].to_pylist(), dtype=object)
     if len(label) == 0:

@@ -141,7 +141,7 @@ def test_failing_vectors(spark):
 def test_command_line(spark, tmp_path, capsys):
     path = str(tmp_path / "posts")
     frame(spark, post("1", "cat")).write.parquet(path)
-    assert api.main([path, "--search", "cat"], spark) == 0
+    assert api.main([path, "--search", "cat", "--json"], spark) == 0
     assert '"tweet_id": "1"' in capsys.readouterr().out
     assert api.main([path, "--stats"], spark) == 0
     assert api.main([path, "--read", "x"], spark) == 2

@@ -41,6 +41,26 @@ def test_bm25_empty(spark):
     assert bm25.search(index, spark.createDataFrame([(1, "x", None, None, None)], QUERIES)).count() == 0
 
 
+def test_best_in_cells_equals_all_scores(spark, monkeypatch):
+    """Queries and texts that meet in cells rank as all their pairs do, with ties at the cut, and have no row for each pair."""
+    import random
+
+    random.seed(3)
+    words = ["a", "b", "c", "d", "e", "ö", "й"]
+    df = frame(spark, *[post(str(i), " ".join(random.choices(words, k=random.randrange(4))), created=random.choice(["bad", "Sun Nov 09 11:05:17 +0000 2025", "Sat Mar 01 00:00:00 +0000 2025"])) for i in range(120)])
+    q = spark.createDataFrame([(i, " ".join(random.choices([*words, "none"], k=random.randrange(4))), *random.choice([(None, None, None), (2025, "03", None), (2025, "01", "12"), (2025, "05", "04")])) for i in range(40)], QUERIES)
+    index = bm25.build(df)
+    terms = bm25.query_terms(q).join(search.spans(q), "query_id")
+    want = {top: rows(bm25.ranked(bm25.scores(index, terms), top)) for top in (3, 500)}
+    for block, part in ((8, 50), (1000, 1000)):
+        for name, value in (("FEW", 0), ("BLOCK", block), ("PART", part)):
+            monkeypatch.setattr(bm25, name, value)
+        for top in (3, 500):
+            found = search.lexical(index, q, top)
+            assert rows(found) == want[top] and len(want[top]) > 50
+            assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_filters(spark):
     df = frame(spark, post("1", "cat"), post("2", "cat", created="bad"), post("3", "cat", created="Sat Mar 01 00:00:00 +0000 2025"))
     q = spark.createDataFrame([(1, "cat", None, None, None), (2, "cat", 2025, None, None), (3, "cat", 2025, "03", None), (4, "cat", 2025, "05", "04"), (5, "cat", None, "03", None)], QUERIES)

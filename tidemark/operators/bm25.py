@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.operators import cells
 from tidemark.storage import materialize
 
 #: Defaults of the Okapi form: saturation, length weight, and the floor of negative idf as a share of the mean idf.
@@ -15,6 +19,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 200
 #: Words up to which a search names them to the scan of postings.
 FEW = 64
+#: Queries of a block, and words of a part's texts, that meet in a cell.
+BLOCK, PART = 8192, 8_000_000
 
 
 @dataclass
@@ -22,7 +28,9 @@ class Index:
     """words (id, w, dl), postings (id, term, tf, dl, month), terms (term, df, idf), and the corpus size and mean length.
 
     The statistics are of all posts, whatever a query's filter; month is the
-    number of the post's month, null where its date can't be read.
+    number of the post's month, null where its date can't be read.  The postings
+    of an index that was not kept are made where they are asked for: only a
+    search of few words does.
     """
 
     words: DataFrame
@@ -44,11 +52,10 @@ def build(posts: DataFrame, ident: str = "id", body: str = "text", urls: str | N
     words = materialize(words, "words")
     size = words.agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     n, total = int(size.n), int(size.t or 0)
-    # each text counts its own words, so the table of single words is never shuffled
     postings = words.select("id", "dl", "month", F.explode("w").alias("term")).groupBy("id", "dl", "month", "term").agg(F.count("*").alias("tf"))
-    postings = materialize(postings, "postings")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw)
+    # each text names its own words once, so the table of single words is never shuffled
+    df = materialize(words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms").withColumn("raw", raw)
     floor = df.agg(F.avg("raw")).first()[0] if n else 0.0
     terms = df.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * float(floor or 0.0))).otherwise(F.col("raw")).alias("idf"))
     return Index(words, postings, terms, n, total / n if n else 0.0)
@@ -108,6 +115,93 @@ def ranked(found: DataFrame, top: int = TOP, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= top)
 
 
+def best(index: Index, terms: DataFrame, top: int = TOP, k1: float = K1, b: float = B) -> DataFrame:
+    """What ``ranked(scores(index, terms), top)`` is, without a row for each query and post that share a word.
+
+    These pairs grow with the posts times the queries.  Beyond FEW words of all
+    queries together, texts' words and queries' terms meet in cells; a cell adds
+    up the scores of one query at a time and sends on the best of each.
+    """
+    if terms.limit(FEW + 1).count() <= FEW:
+        return ranked(scores(index, terms, k1=k1, b=b), top)
+    spark = terms.sparkSession
+    scoped = ["first", "last"] if "first" in terms.columns else []
+    asked = terms.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"), *scoped)
+    blocks, parts = cells.grid(index.words, terms.select("query_id").distinct().count(), BLOCK, int(index.docs * index.mean_length), PART)
+    # no word holds a blank
+    texts = index.words.where("dl > 0").select("id", "dl", *(["month"] if scoped else []), F.array_join("w", " ").alias("w"))
+    mean = max(index.mean_length, 1e-12)
+    found = cells.meet(asked, texts, blocks, parts, lambda q, x: _best(q, x, top, mean, k1, b))
+    return ranked(found, top)
+
+
+def _postings(x: pa.Table, vocabulary: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, tf) in rising order: key is the number of a word x texts + the rank of a text."""
+    keys, counts, done = [], [], 0
+    for batch in x.select(["w"]).to_batches():
+        words = pc.split_pattern(batch.column(0), " ")
+        at = pc.index_in(words.flatten(), vocabulary)
+        text_of = np.repeat(rank[done : done + len(words)], pc.list_value_length(words).to_numpy())
+        met = at.is_valid().to_numpy(zero_copy_only=False)
+        key, n = np.unique(at.drop_null().to_numpy().astype(np.int64) * len(rank) + text_of[met], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        done += len(words)
+    key = np.concatenate(keys)
+    order = np.argsort(key)  # a text lies in one batch
+    return key[order], np.concatenate(counts)[order]
+
+
+def _best(q: pa.Table, x: pa.Table, k: int, mean: float, k1: float, b: float) -> pa.Table:
+    """The k best texts of each query in a cell; scores are rounded before they are compared, ties go to the smaller id."""
+    n = x.num_rows
+    ids = x["id"].combine_chunks()
+    order = pc.sort_indices(ids).to_numpy()
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    ids = ids.take(pa.array(order))
+    vocabulary = pc.unique(q["term"])
+    key, tf = _postings(x, vocabulary, rank)
+    length = x["dl"].to_numpy()[order].astype(np.float64)
+    text_of = (key % n).astype(np.int32)
+    part = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length[text_of] / mean))
+    start = np.searchsorted(key, np.arange(len(vocabulary) + 1) * n)
+    del key, tf
+    scoped = "first" in q.column_names
+    month = np.asarray(pc.fill_null(x["month"], -1))[order] if scoped else None
+    q = q.sort_by([("query_id", "ascending"), ("term", "ascending")])
+    query, term, weight = q["query_id"].to_numpy(), pc.index_in(q["term"], vocabulary).to_numpy(), q["weight"].to_numpy()
+    first, last = (q["first"].to_pylist(), q["last"].to_pylist()) if scoped else (None, None)
+    score, seen = np.zeros(n), np.zeros(n, bool)
+    known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # equal queries are answered once
+    out_query, out_at, out_score = [], [], []
+    ends = np.append(np.flatnonzero(np.diff(query)) + 1, len(query))
+    begin = 0
+    for end in ends.tolist():
+        span = (first[begin], last[begin]) if scoped else (None, None)
+        same = (span, tuple(term[begin:end].tolist()), tuple(weight[begin:end].tolist()))
+        if same not in known:
+            for t, w in zip(term[begin:end].tolist(), weight[begin:end].tolist(), strict=True):
+                has = slice(start[t], start[t + 1])
+                score[text_of[has]] += w * part[has]
+                seen[text_of[has]] = True
+            at = np.flatnonzero(seen)
+            s = score[at]
+            score[at], seen[at] = 0.0, False
+            if span[0] is not None:
+                inside = (month[at] >= span[0]) & (month[at] <= span[1])
+                at, s = at[inside], s[inside]
+            known[same] = cells.largest(at.astype(np.int32), np.round(s, 9), k)
+        at, s = known[same]
+        out_query.append(np.full(len(at), query[begin]))
+        out_at.append(at)
+        out_score.append(s)
+        begin = end
+    del text_of, part, known
+    return cells.hits(ids, np.concatenate(out_query), np.concatenate(out_at), np.concatenate(out_score))
+
+
 def search(index: Index, queries: DataFrame, allowed: DataFrame | None = None, top: int = TOP, query: str = "query_text") -> DataFrame:
     """(query_id, id, score, rnk) of each query."""
-    return ranked(scores(index, query_terms(queries, query), allowed), top)
+    terms = query_terms(queries, query)
+    return best(index, terms, top) if allowed is None else ranked(scores(index, terms, allowed), top)

@@ -45,7 +45,7 @@ def anchors(queries: DataFrame, now: datetime) -> DataFrame:
 def lexical(index: bm25.Index, queries: DataFrame, top: int = bm25.TOP) -> DataFrame:
     """(query_id, id, score, rnk) by BM25, filters first."""
     terms = bm25.query_terms(queries).join(spans(queries), "query_id")
-    return bm25.ranked(bm25.scores(index, terms), top)
+    return bm25.best(index, terms, top)
 
 
 def dense_hits(query_vectors: DataFrame, rows: DataFrame, queries: DataFrame, posts: DataFrame, top: int = bm25.TOP) -> DataFrame:

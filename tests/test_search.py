@@ -85,6 +85,31 @@ def check_dense(spark, q, v, block):
     assert dense.top_k(q.limit(0), v).count() == 0
 
 
+def test_dense_cells_rank_as_all_pairs_do(spark, monkeypatch):
+    """More than FEW queries send on k rows of each from few cells, not from every task; ties at the cut go to the smaller id."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, (300, 3)) + np.array([0.0, 0.0, 0.5])
+    month = [None if i % 7 == 0 else i % 5 for i in range(300)]
+    q = rng.integers(-1, 2, (90, 3)) + np.array([0.5, 0.0, 0.0])
+    span = [(None, None) if i % 3 else (1, 2 if i % 2 else 0) for i in range(90)]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit(q) @ unit(v).T, 9)
+    want = []
+    for i, (a, b) in enumerate(span):
+        inside = [j for j in range(300) if a is None or month[j] is not None and a <= month[j] <= b]
+        want += [(i, n, str(j)) for n, j in enumerate(sorted(inside, key=lambda j: (-sims[i, j], str(j)))[:20], 1)]
+    given = spark.createDataFrame([(str(j), x.tolist(), m) for j, (x, m) in enumerate(zip(v, month, strict=True))], "id string, v array<double>, month int").repartition(40)
+    asked = spark.createDataFrame([(i, x.tolist(), *s) for i, (x, s) in enumerate(zip(q, span, strict=True))], "query_id bigint, v array<double>, first int, last int")
+    for block, step, some in ((1000, 512, 8192), (30, 16, 50)):
+        monkeypatch.setattr(dense, "STEP", step)
+        monkeypatch.setattr(dense, "ROWS", some)
+        found = dense.top_k(asked, given, 20, block)
+        assert rows(found, "query_id", "rnk", "id") == sorted(want, key=repr)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_usable_vectors(spark):
     nan = float("nan")
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [nan, 0.0]), ("b", 1, [0.0, 0.0]), ("c", 1, None), ("d", 1, [1.0]), ("e", 1, [1.0, 2.0]), (None, 1, [1.0, 2.0])], "id string, n bigint, v array<float>")

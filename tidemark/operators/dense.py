@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import cells
 from tidemark.operators.bm25 import TOP, ranked
 
-#: Query vectors up to which they are sent to all tasks, and vectors of a block beyond that.
-BLOCK = 8192
+#: Query vectors up to which they are sent to all tasks; query vectors of a block, and rows of a part, that meet in a cell beyond that.
+FEW, BLOCK, PART = 64, 8192, 131_072
+#: Query vectors and rows that are multiplied at once.
+STEP, ROWS = 512, 8192
 
 
 def usable(rows: DataFrame, ident: str, vector: str, dims: int, newest: str) -> DataFrame:
@@ -65,26 +68,57 @@ class _Block:
         return pa.table({"query_id": pa.array(self.ids[c]), "id": ids.take(pa.array(r)).cast(pa.string()), "score": pa.array(sims[r, c])})
 
 
-_EMPTY = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, block: int = BLOCK) -> DataFrame:
+def _best_of_cell(q: pa.Table, x: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query in a cell; ties by smaller id."""
+    ids = x["id"].combine_chunks().cast(pa.string())
+    order = pc.sort_indices(ids)
+    ids, x = ids.take(order), x.take(order)
+    months = _numbers(x["month"], -1) if "month" in x.column_names else None
+    out = []
+    for i in range(0, q.num_rows, STEP):
+        own = _Block(q.slice(i, STEP))
+        query, at, score = (np.zeros(0, t) for t in (np.int32, np.int32, np.float64))
+        edge = np.full(len(own.ids), -np.inf)  # the k-th best score so far, rounded
+        for j in range(0, x.num_rows, ROWS):
+            part = x.slice(j, ROWS)
+            sims = own.unit @ _unit(_matrix(part["v"])).T
+            if not own.open.all():
+                m = months[None, j : j + ROWS]
+                sims[~(own.open[:, None] | (m >= own.first[:, None]) & (m <= own.last[:, None]))] = -np.inf
+            least = edge
+            if part.num_rows > k and not np.isfinite(edge).all():
+                least = np.maximum(edge, np.partition(sims, part.num_rows - k, axis=1)[:, part.num_rows - k])
+            # a little less, since scores are compared when they are rounded
+            c, r = np.nonzero((sims >= least[:, None] - 1e-8) & (sims > -np.inf))
+            query, at, score = np.concatenate((query, c.astype(np.int32))), np.concatenate((at, (r + j).astype(np.int32))), np.concatenate((score, np.round(sims[c, r], 9)))
+            best = np.lexsort((at, -score, query))
+            query, at, score = query[best], at[best], score[best]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            full = place == k - 1
+            edge[query[full]] = score[full]
+            query, at, score = query[place < k], at[place < k], score[place < k]
+        out.append(cells.hits(ids, own.ids[query], at, score))
+    return pa.concat_tables(out)
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, block: int = BLOCK, size: int | None = None) -> DataFrame:
     """(query_id, id, score, rnk): of each (query_id, v) the k rows (id, v) of largest cosine; ties by smaller id.
 
-    Up to ``block`` queries (a checked number) are sent to all tasks, and rows
-    stay where they are; more are numbered blocks that meet the rows' parts as
-    tables, without passing through the driver.  A task sends on the k best of
-    each query.  Where queries have columns (first, last) that are not null,
-    only rows with a ``month`` between them are ranked.
+    Up to FEW queries (a checked number) are sent to all tasks, and rows stay
+    where they are; more meet the rows in cells, as tables, without passing
+    through the driver.  A task or cell sends on the k best of each query, so
+    many queries must not meet as many small parts as there are tasks.  Where
+    queries have columns (first, last) that are not null, only rows with a
+    ``month`` between them are ranked.  size: the number of rows, if known.
     """
     spark = rows.sparkSession
     scoped = "first" in queries.columns
     asked = queries.select("query_id", "v", *(["first", "last"] if scoped else []))
     given = rows.select("id", "v", *(["month"] if scoped else []))
-    few = asked.limit(block + 1).toArrow()  # at most block + 1 vectors
+    few = asked.limit(min(block, FEW) + 1).toArrow()  # at most FEW + 1 vectors
     if few.num_rows == 0:
         return ranked(spark.createDataFrame([], "query_id bigint, id string, score double"), k)
-    if few.num_rows <= block:
+    if few.num_rows <= min(block, FEW):
         shared = spark.sparkContext.broadcast(_Block(few))
 
         def run(batches):
@@ -100,22 +134,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = TOP, block: int = BLOCK)
                 yield from _best(pa.concat_tables(kept), k).to_batches()
 
         return ranked(given.mapInArrow(run, "query_id bigint, id string, score double"), k)
-    blocks = -(-asked.count() // block)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = asked.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = given.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(_, q: pa.Table, x: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or x.num_rows == 0:
-            return _EMPTY.empty_table()
-        own, kept = _Block(q), _EMPTY.empty_table()
-        for i in range(0, x.num_rows, 10_000):
-            part = x.slice(i, 10_000).combine_chunks()
-            found = own.against(part["id"].combine_chunks(), _matrix(part["v"].combine_chunks()), _numbers(part["month"], -1) if scoped else None, k)
-            kept = _best(pa.concat_tables([kept, found]), k)
-        return kept
-
-    return ranked(left.groupBy("g", "p").cogroup(right.groupBy("g", "p")).applyInArrow(meet, "query_id bigint, id string, score double"), k)
+    blocks, parts = cells.grid(rows, asked.count(), block, rows.count() if size is None else size, PART)
+    return ranked(cells.meet(asked, given, blocks, parts, lambda q, x: _best_of_cell(q, x, k)), k)
 
 
 def embed(df: DataFrame, ident: str, text: str, call: Callable[[list[str]], list[list[float]]], batch: int = 32, placeholder: str = " ") -> DataFrame:

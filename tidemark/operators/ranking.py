@@ -45,7 +45,8 @@ def fuse(rankings: list[DataFrame], k: int = K_RRF, top: int = FUSED_TOP) -> Dat
     for i, r in enumerate(rankings):
         part = r.select("query_id", "id", (F.lit(1.0) / (k + F.col("rnk"))).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rnk").alias("place")).alias("seen"))
         every = part if every is None else every.unionByName(part)
-    summed = every.groupBy("query_id", "id").agg(F.round(F.sum("part"), 12).alias("fused"), F.min("seen").alias("seen"))
+    # once by query: neither the sums nor the ranks need another exchange
+    summed = every.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("part"), 12).alias("fused"), F.min("seen").alias("seen"))
     w = Window.partitionBy("query_id").orderBy(F.desc("fused"), "seen", "id")
     return summed.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= top).select("query_id", "id", "fused", "rnk")
 

@@ -51,7 +51,7 @@ def lexical(index: bm25.Index, queries: DataFrame, top: int = bm25.TOP) -> DataF
 def dense_hits(query_vectors: DataFrame, rows: DataFrame, queries: DataFrame, posts: DataFrame, top: int = bm25.TOP) -> DataFrame:
     """(query_id, id, score, rnk) by cosine, filters first: queries without one rank all rows, the others their months' rows."""
     month = dates.month_number(dates.month_key(F.col("created_at")))
-    return dense.top_k(query_vectors.join(spans(queries), "query_id"), rows.join(posts.select("id", month.alias("month")), "id", "left"), top)
+    return dense.top_k(query_vectors.join(spans(queries), "query_id"), rows.join(posts.select("id", month.alias("month")), "id", "left"), top, size=rows.count())
 
 
 def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: DataFrame, now: datetime, query_vectors: DataFrame | None = None, rows: DataFrame | None = None, top: int = TOP, weights: ranking.Weights = ranking.Weights()) -> DataFrame:

@@ -91,7 +91,8 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # the best score of a query, and of its hits the smallest id
     best = known.groupBy("query_id", "score").agg(F.min("id").alias("id")).groupBy("query_id").agg(F.max_by("id", "score").alias("id"))
     asked = best.join(queries.select("query_id"), "query_id", "left_semi").join(rows, "id").select("query_id", "v")
-    return asked, rows
+    # they are counted before they meet the rows
+    return materialize(asked, "asked"), rows
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame, DataFrame]:

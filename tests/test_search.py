@@ -135,6 +135,23 @@ def test_fuse(spark):
         ranking.fuse([a], k=0)
 
 
+def test_fused_lists_keep_a_score(spark):
+    a = spark.createDataFrame([(1, "x", 1, 0.5), (1, "y", 2, 0.25)], "query_id bigint, id string, rnk int, cos double")
+    b = spark.createDataFrame([(1, "z", 1), (1, "y", 2)], "query_id bigint, id string, rnk int")
+    assert rows(ranking.fuse([a, b], keep="cos"), "id", "rnk", "cos") == [("x", 2, 0.5), ("y", 1, 0.25), ("z", 3, None)]
+
+
+def test_ranking_moves_no_words_by_query(spark):
+    """Arrays of posts' words and maps of features are in no exchange by query: they would be moved once for each hit."""
+    df = frame(spark, post("1", "cat"), post("2", "dog"))
+    words = spark.createDataFrame([(1, "cat", 1)], "query_id bigint, term string, qtf int")
+    terms = spark.createDataFrame([("cat", 2.0)], "term string, idf double")
+    ranked = ranking.rank(hits(spark, (1, "1", 0.5), (1, "2", 0.5)), df, posts.author_affinity(df), F.lit(NOW), words, terms, bm25.build(df).words, top=5)
+    assert [(r.id, r.feature_breakdown["coverage"]) for r in ranked.orderBy("rnk").collect()] == [("1", 0.0), ("2", -10.0)]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("map(relevance") < plan.index("Window")  # above the window, so behind its exchange
+
+
 def hits(spark, *h):
     return spark.createDataFrame(list(h), "query_id bigint, id string, relevance double")
 

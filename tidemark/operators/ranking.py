@@ -33,36 +33,37 @@ class Weights:
 FEATURES = ("relevance", "favorite", "retweet", "reply", "view", "affinity", "recency", "verified", "media", "coverage")
 
 
-def fuse(rankings: list[DataFrame], k: int = K_RRF, top: int = FUSED_TOP) -> DataFrame:
-    """(query_id, id, fused, rnk) of rankings (query_id, id, rnk): reciprocal ranks summed.
+def fuse(rankings: list[DataFrame], k: int = K_RRF, top: int = FUSED_TOP, keep: str | None = None) -> DataFrame:
+    """(query_id, id, fused, rnk[, keep]) of rankings (query_id, id, rnk): reciprocal ranks summed.
 
     Ties go to the id seen first (in the earlier ranking, then at the better
-    place), then to the smaller id.
+    place), then to the smaller id.  keep is a column of the first ranking, null
+    for ids that it lacks.
     """
     if k <= 0 or top <= 0:
         raise ValueError("k and top must be positive")
     every = None
     for i, r in enumerate(rankings):
-        part = r.select("query_id", "id", (F.lit(1.0) / (k + F.col("rnk"))).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rnk").alias("place")).alias("seen"))
+        part = r.select("query_id", "id", (F.lit(1.0) / (k + F.col("rnk"))).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rnk").alias("place")).alias("seen"), *([(F.col(keep) if i == 0 else F.lit(None)).cast("double").alias(keep)] if keep else []))
         every = part if every is None else every.unionByName(part)
     # once by query: neither the sums nor the ranks need another exchange
-    summed = every.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("part"), 12).alias("fused"), F.min("seen").alias("seen"))
+    summed = every.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("part"), 12).alias("fused"), F.min("seen").alias("seen"), *([F.max(keep).alias(keep)] if keep else []))
     w = Window.partitionBy("query_id").orderBy(F.desc("fused"), "seen", "id")
-    return summed.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= top).select("query_id", "id", "fused", "rnk")
+    return summed.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= top).select("query_id", "id", "fused", "rnk", *([keep] if keep else []))
 
 
-def missing_idf(hits: DataFrame, words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, missing): summed idf, none below 0, of each query's distinct words that a hit lacks.
-
-    hits has (query_id, id, w) with the post's words; words (query_id, term);
-    terms (term, idf).
-    """
+def wanted_words(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, wanted): the distinct words (query_id, term) of each query with their idf (term, idf), none below 0."""
     known = words.select("query_id", "term").distinct().join(terms.select("term", "idf"), "term", "left")
     idf = F.greatest(F.lit(0.0), F.coalesce("idf", F.lit(UNKNOWN_IDF)))
     # a query has few words: one array of them for each query
-    wanted = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("wanted"))
-    lacking = F.aggregate(F.filter("wanted", lambda t: ~F.array_contains(F.col("w"), t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
-    return hits.join(wanted, "query_id", "left").select("query_id", "id", F.coalesce(lacking, F.lit(0.0)).alias("missing"))
+    return known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("wanted"))
+
+
+def missing_idf(wanted: str, has: str) -> Column:
+    """The summed idf of a query's wanted words that a post's array of words lacks; 0 for a query without words."""
+    lacking = F.aggregate(F.filter(wanted, lambda t: ~F.array_contains(F.col(has), t["term"])), F.lit(0.0), lambda s, t: s + t["idf"])
+    return F.coalesce(lacking, F.lit(0.0))
 
 
 def _log(c: str) -> Column:
@@ -81,16 +82,18 @@ def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column,
     extra = [c for c in hits.columns if c not in ("query_id", "id", "relevance")]
     hits = hits.withColumn("relevance", F.coalesce(F.nanvl("relevance", F.lit(0.0)), F.lit(0.0)))
     slim = posts.select("id", "text", "urls", "created_at", "favorite_count", "retweet_count", "reply_count", "view_count", F.col("author.screen_name").alias("screen_name"), F.col("author.verified").alias("verified"), (F.coalesce(F.size("media"), F.lit(0)) > 0).alias("has_media"))
-    # the hits are the small side: posts are only read for them
-    full = hits.join(slim, "id").join(affinity.select("screen_name", F.col("affinity").alias("_aff")), "screen_name", "left")
+    # posts get what belongs to them before they meet the hits, which are many for a post
+    slim = slim.join(affinity.select("screen_name", F.col("affinity").alias("_aff")), "screen_name", "left")
     if words is not None:
         if tokens is None:
-            own = full.select("query_id", "id", text.tokens(text.index_text(F.col("text"), F.col("urls"))).alias("w"))
+            slim = slim.withColumn("w", text.tokens(text.index_text(F.col("text"), F.col("urls"))))
         else:
-            own = hits.select("query_id", "id").join(tokens.select("id", "w"), "id")
-        full = full.join(missing_idf(own, words, terms), ["query_id", "id"])
+            slim = slim.join(tokens.select("id", "w"), "id")
+        # a query's words go to its hits, so that a post's words aren't shuffled once for each of them
+        asked = hits.join(wanted_words(words, terms), "query_id", "left")
+        full = asked.join(slim, "id").withColumn("missing", missing_idf("wanted", "w"))
     else:
-        full = full.withColumn("missing", F.lit(0.0))
+        full = hits.join(slim, "id").withColumn("missing", F.lit(0.0))
     flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
     value = {
         "relevance": F.col("relevance") * weights.relevance,
@@ -107,7 +110,9 @@ def rank(hits: DataFrame, posts: DataFrame, affinity: DataFrame, anchor: Column,
     total = value[FEATURES[0]]
     for f in FEATURES[1:]:
         total = total + value[f]
-    scored = full.select("query_id", "id", *extra, F.round(total, digits).alias("score"), F.col("relevance").alias("walker_relevance"), F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.round(value[f], digits))]).alias("feature_breakdown"))
+    # features stay columns until ranks are known: a map has their names in each row
+    scored = full.select("query_id", "id", *extra, F.round(total, digits).alias("score"), F.col("relevance").alias("walker_relevance"), *[F.round(value[f], digits).alias(f"_{f}") for f in FEATURES])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("walker_relevance"), F.asc("id"))
     out = scored.withColumn("rnk", F.row_number().over(w))
-    return out if top is None else out.where(F.col("rnk") <= top)
+    out = out if top is None else out.where(F.col("rnk") <= top)
+    return out.select("query_id", "id", *extra, "score", "walker_relevance", F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f"_{f}"))]).alias("feature_breakdown"), "rnk")

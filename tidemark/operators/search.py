@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators import bm25, dense, posts as P, ranking
-from tidemark.storage import materialize
 
 TOP = 50
 SNIPPET = 240
@@ -61,13 +60,12 @@ def search(queries: DataFrame, posts: DataFrame, index: bm25.Index, affinity: Da
     relevance feature is the cosine, 0 for posts only found by words.  Queries
     without a vector are searched by words alone, and without words by vector.
     """
-    # both are used more than once, and have at most 200 rows for a query
-    by_words = materialize(lexical(index, queries), "lexical")
+    by_words = lexical(index, queries)
     if query_vectors is not None:
-        near = materialize(dense_hits(query_vectors, rows, queries, posts), "dense")
-        fused = ranking.fuse([near, by_words]).select("query_id", "id").join(near.select("query_id", "id", F.col("score").alias("cos")), ["query_id", "id"], "left")
+        near = dense_hits(query_vectors, rows, queries, posts).withColumnRenamed("score", "cos")
+        fused = ranking.fuse([near, by_words], keep="cos")
     else:
-        fused = ranking.fuse([by_words]).select("query_id", "id", F.lit(None).cast("double").alias("cos"))
+        fused = ranking.fuse([by_words]).withColumn("cos", F.lit(None).cast("double"))
     hits = fused.select("query_id", "id", F.coalesce("cos", F.lit(0.0)).alias("relevance")).join(anchors(queries, now).select("query_id", "anchor"), "query_id")
     return ranking.rank(hits, posts, affinity, F.col("anchor"), bm25.query_terms(queries), index.terms, index.words, weights, top).drop("anchor")
 

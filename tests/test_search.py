@@ -260,6 +260,15 @@ def test_second_round(spark):
     assert got["1"] == 1 and got["2"] == 2 and "3" not in got
 
 
+def test_second_round_searches_a_kept_table_of_seeds(spark):
+    df = frame(spark, post("1", "cat #dog"), post("2", "dog"))
+    q = spark.createDataFrame([(1, "cat", None, None, None)], QUERIES)
+    index, asked = bm25.build(df), []
+    first = search.lexical(index, q).select("query_id", "id", "rnk")
+    search.second_round(first, q, graph.build(q, first, df).nodes, lambda x: asked.append(x) or search.lexical(index, x))
+    assert len(asked[0].inputFiles()) and "Window" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_kept_index_finds_the_same(spark, tmp_path):
     df = frame(spark, post("1", "cat dog"), post("2", "cat"), post("3", "bird"))
     q = spark.createDataFrame([(1, "cat dog", None, None, None), (2, "bird", 2025, "11", None)], QUERIES)

@@ -19,7 +19,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 200
 #: Words up to which a search names them to the scan of postings.
 FEW = 64
-#: Queries of a block, and words of a part's texts, that meet in a cell.
+#: Queries of a block (of TOP hits each; more of fewer), and words of a part's texts, that meet in a cell.
 BLOCK, PART = 8192, 8_000_000
 
 
@@ -127,7 +127,7 @@ def best(index: Index, terms: DataFrame, top: int = TOP, k1: float = K1, b: floa
     spark = terms.sparkSession
     scoped = ["first", "last"] if "first" in terms.columns else []
     asked = terms.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"), *scoped)
-    blocks, parts = cells.grid(index.words, terms.select("query_id").distinct().count(), BLOCK, int(index.docs * index.mean_length), PART)
+    blocks, parts = cells.grid(index.words, terms.select("query_id").distinct().count(), max(1, BLOCK * TOP // top), int(index.docs * index.mean_length), PART)
     # no word holds a blank
     texts = index.words.where("dl > 0").select("id", "dl", *(["month"] if scoped else []), F.array_join("w", " ").alias("w"))
     mean = max(index.mean_length, 1e-12)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.operators import bm25, dense, posts as P, ranking
+from tidemark.storage import materialize
 
 TOP = 50
 SNIPPET = 240
@@ -115,6 +116,8 @@ def second_round(first: DataFrame, queries: DataFrame, graph_nodes: DataFrame, f
     picked = graph.seeds(graph_nodes, k)
     named = picked.select((F.col("query_id") * 1000 + F.col("place")).alias("_seed"), "query_id", "seed_text")
     asked = named.join(queries.drop("query_text"), "query_id").select(F.col("_seed").alias("query_id"), F.col("seed_text").alias("query_text"), *[c for c in queries.columns if c not in ("query_id", "query_text")])
+    # a few rows for each query, counted and searched: the graph is not built again for each
+    asked = materialize(asked, "asked")
     found = find(asked).select((F.floor(F.col("query_id") / 1000)).cast("bigint").alias("query_id"), "id", (F.col("rnk") + (F.col("query_id") % 1000) * 1000).alias("rnk"))
     return P.first_rounds(first.select("query_id", "id", F.col("rnk").cast("bigint").alias("rnk")), found)
 

@@ -15,26 +15,31 @@ out of question; it is repeated for text that was garbled more than once.
 Segments that can't be restored (replacement characters, control characters of
 the upper half, cut UTF-8 sequences) are found too, and left as they are.
 
-Pair counts cover all texts.  The PAIRS most frequent pairs are kept as they
-are; the rest is counted in REST buckets by a hash of the pair, so that the table
-sent to the tasks is bounded and no pair is left out.
+Pair counts cover all texts, and every count that is used is exact.  The PAIRS
+most frequent pairs are sent to the tasks.  Where there are more, the table of
+all pairs stays in the shared folder, and REST buckets by a hash of the pair are
+sent too: a pair in an empty bucket occurs nowhere, and the others are asked for.
+A text that needs pairs that were not sent waits, they are joined with the table
+of all pairs, and the text is taken up again with their counts.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
-from functools import lru_cache
+from collections import defaultdict
+from dataclasses import dataclass, field, replace
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textform as tf
 from tidemark.storage import discard, materialize
 
-#: Pairs kept in the table of pair counts (16 bytes each), and buckets of the counts of all others (8 bytes each).
+#: Pairs sent to the tasks with their counts (16 bytes each), and buckets of the counts of all others (8 bytes each).
 PAIRS, REST = 1 << 18, 1 << 20
 #: Adjoining characters beyond ASCII, of one script other than Latin's plain accents can be, from which a run is tested for one-byte mappings too.
 RUN = 4
@@ -82,7 +87,12 @@ def bucket_of(key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class PairModel:
-    """Pair counts of a corpus: keys a << 21 | b in rising order."""
+    """Pair counts of a corpus: keys a << 21 | b in rising order.
+
+    rest: buckets of the pairs that are not among the keys; every: the table of
+    all pairs.  Both are None where the keys are all pairs.  told: pairs and
+    counts from that table; asked: pairs whose count was needed and not known.
+    """
 
     keys: np.ndarray
     counts: np.ndarray
@@ -90,8 +100,13 @@ class PairModel:
     rest: np.ndarray | None = None
     singles: dict[int, int] = field(default_factory=dict)
     cache: dict[tuple[str, str, str, bool], tuple[bool, str]] = field(default_factory=dict)
+    every: DataFrame | None = None
+    told: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    asked: set[int] = field(default_factory=set)
 
     def __post_init__(self):
+        if self.singles:
+            return
         left, right = self.keys >> 21, self.keys & 0x1FFFFF
         for side in (left, right):
             u, inv = np.unique(side, return_inverse=True)
@@ -99,12 +114,33 @@ class PairModel:
             for cp, k in zip(u.tolist(), n.tolist(), strict=True):
                 self.singles[cp] = max(self.singles.get(cp, 0), int(k))
 
+    def tell(self, keys: pa.ListArray, counts: pa.ListArray) -> None:
+        """Takes these counts instead of those told before."""
+        k, first = np.unique(np.asarray(keys.flatten(), np.int64), return_index=True)
+        self.told = k, np.asarray(counts.flatten(), np.int64)[first]
+
+    def known_counts(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs' counts, and which of them are not known; the bucket's count, which is no less, stands for these."""
+        n, unknown = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+        for keys, counts in ((self.keys, self.counts), self.told):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                n[hit] = counts[at[hit]]
+                unknown &= ~hit
+        if self.rest is None:
+            return n, np.zeros(len(key), bool)
+        bound = self.rest[bucket_of(key)]
+        return np.where(unknown, bound, n), unknown & (bound > 0)
+
     def count(self, key: np.ndarray) -> np.ndarray:
-        if len(self.keys) == 0:
-            return np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        other = 0 if self.rest is None else self.rest[bucket_of(key)]
-        return np.where(self.keys[at] == key, self.counts[at], other)
+        """The pairs' counts; those that are not known are asked for."""
+        if self.rest is None and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.counts[at], 0)
+        n, unknown = self.known_counts(key)
+        self.asked.update(key[unknown].tolist())
+        return n
 
     @property
     def known(self) -> np.ndarray:
@@ -113,14 +149,23 @@ class PairModel:
         out[list(self.singles)] = True
         return out
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The characters' counts, by their numbers."""
+        out = np.zeros(1 << 21)
+        out[list(self.singles)] = list(self.singles.values())
+        return out
+
+    def improbability(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """LEVEL minus the discounted mutual information of pairs with such counts, in bits; LEVEL for those that don't occur."""
+        n = count.astype(np.float64)
+        mi = np.log2(np.maximum(n, 1) * max(self.total, 1) / (np.maximum(self.single[key >> 21], 1) * np.maximum(self.single[key & 0x1FFFFF], 1)))
+        return LEVEL - np.maximum(mi, 0) * n / (n + FEWEST + DISCOUNT * self.total)
+
     @property
     def improbable(self) -> np.ndarray:
-        """LEVEL minus the discounted mutual information of each kept pair, in bits."""
-        n = self.counts.astype(np.float64)
-        single = np.zeros(1 << 21)
-        single[list(self.singles)] = list(self.singles.values())
-        mi = np.log2(n * max(self.total, 1) / (np.maximum(single[self.keys >> 21], 1) * np.maximum(single[self.keys & 0x1FFFFF], 1)))
-        return LEVEL - np.maximum(mi, 0) * n / (n + FEWEST + DISCOUNT * self.total)
+        """The improbability of each of the keys."""
+        return self.improbability(self.keys, self.counts)
 
     def mean(self, text: str, own: bool = False) -> tuple[float, float]:
         """Mean and least log2 of pairs per million of a text's pairs with a character beyond ASCII.
@@ -170,20 +215,22 @@ def pair_counts(df: DataFrame, text: str) -> PairModel:
     k, n = np.asarray(kept["k"]), np.asarray(kept["n"])
     order = np.argsort(k)
     k, n = k[order], n[order]
-    total, rest = int(n.sum()), None
-    if len(k) == PAIRS:
+    if len(k) < PAIRS:
+        discard(every)
+        return PairModel(k, n, int(n.sum()))
 
-        def buckets(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(np.asarray(b.column(0)))), b.column(1)], ["b", "n"])
+    def buckets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(np.asarray(b.column(0)))), b.column(1)], ["b", "n"])
 
-        got = every.mapInArrow(buckets, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most REST rows
-        rest = np.zeros(REST, np.int64)
-        rest[np.asarray(got["b"])] = np.asarray(got["n"])
-        total = int(rest.sum())
-        np.subtract.at(rest, bucket_of(k), n)
-    discard(every)
-    return PairModel(k, n, total, rest)
+    got = every.mapInArrow(buckets, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most REST rows
+    rest = np.zeros(REST, np.int64)
+    rest[np.asarray(got["b"])] = np.asarray(got["n"])
+    total = int(rest.sum())
+    np.subtract.at(rest, bucket_of(k), n)
+    sides = [every.groupBy(c.alias("c")).agg(F.sum("n").alias("n")) for c in (F.shiftright("k", 21), F.col("k").bitwiseAND(0x1FFFFF))]
+    chars = sides[0].unionByName(sides[1]).groupBy("c").agg(F.max("n").alias("n")).toArrow()  # at most one row a character of Unicode
+    return PairModel(k, n, total, rest, dict(zip(chars["c"].to_pylist(), chars["n"].to_pylist(), strict=True)), every=every)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -292,6 +339,7 @@ def restored(model: PairModel, before: str, text: str, after: str, usual: bool =
     usual: the segment's pairs are probable ones in the corpus, so it may be a
     proper word; then only UTF-8 is tested, and a long sequence of known
     characters is enough only where a letter is followed by a sign.
+    Where the model has asked for pairs, nothing is decided before they are told.
     """
     key = (before, text, after, usual)
     if key in model.cache:
@@ -336,9 +384,11 @@ def restored(model: PairModel, before: str, text: str, after: str, usual: bool =
                                 continue
                         if s >= best_score and (least >= FLOOR or len(new) > MANY and s >= TYPICAL):
                             best, best_score = got, s
-        if best is None:
+        if best is None or model.asked:
             break
         now, garbled = best, True
+    if model.asked:
+        return False, text
     if not garbled:
         garbled = any(ch == "�" or "\x80" <= ch <= "\x9f" for ch in now) or _cut_sequence(now)
     if len(model.cache) > 200_000:
@@ -404,23 +454,40 @@ def broken_runs(model: PairModel, cps: np.ndarray, off: np.ndarray) -> list[tupl
     return list(zip(row[first[hit]].tolist(), at[first[hit]].tolist(), (at[last[hit]] + 1).tolist(), strict=True))
 
 
-def suspicious(model: PairModel, scores: np.ndarray, cps: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, start, end) of the maximum-scoring segments of improbable pairs, as characters."""
-    n = len(cps)
-    if n == 0:
-        return []
+def _odd_pairs(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the second characters of pairs with a character beyond ASCII are, their rows, and the pairs."""
     c = cps.astype(np.int64)
-    high = c > 127
     # a row is also a pair with a line break before and behind it
     prev = np.concatenate(([10], c[:-1]))
-    prev[tf.row_starts(n, off)] = 10
-    odd = np.flatnonzero(high | (prev > 127))
+    prev[tf.row_starts(len(c), off)] = 10
+    odd = np.flatnonzero((c > 127) | (prev > 127))
+    return odd, np.searchsorted(off, odd, side="right") - 1, prev[odd] << 21 | c[odd]
+
+
+def unknown_pairs(model: PairModel, cps: np.ndarray, off: np.ndarray) -> dict[int, set[int]]:
+    """The pairs of each row whose counts must be told before it can be examined."""
+    out: dict[int, set[int]] = defaultdict(set)
+    if len(cps) and model.rest is not None:
+        _, row, key = _odd_pairs(cps, off)
+        unknown = model.known_counts(key)[1]
+        for r, k in zip(row[unknown].tolist(), key[unknown].tolist(), strict=True):
+            out[r].add(k)
+    return out
+
+
+def suspicious(model: PairModel, scores: np.ndarray, cps: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, start, end) of the maximum-scoring segments of improbable pairs, as characters."""
+    if len(cps) == 0:
+        return []
+    high = cps > 127
+    odd, row, key = _odd_pairs(cps, off)
     if len(odd) == 0:
         return []
-    key = prev[odd] << 21 | c[odd]
     at = np.minimum(np.searchsorted(model.keys, key), max(len(model.keys) - 1, 0))
     s = np.where(model.keys[at] == key, scores[at], LEVEL) if len(model.keys) else np.full(len(odd), LEVEL)
-    row = np.searchsorted(off, odd, side="right") - 1
+    if model.rest is not None:
+        other = np.flatnonzero(model.keys[at] != key)
+        s[other] = model.improbability(key[other], model.known_counts(key[other])[0])
     hot = np.unique(row[s > 0])
     out = []
     lo, hi = np.searchsorted(row, hot), np.searchsorted(row, hot, side="right")
@@ -459,6 +526,31 @@ def passages(model: PairModel, scores: np.ndarray, cps: np.ndarray, off: np.ndar
     return sorted(out)
 
 
+def examined(model: PairModel, scores: np.ndarray, cps: np.ndarray, off: np.ndarray) -> tuple[dict[int, tuple[str, int]], dict[int, set[int]]]:
+    """(text as restored, number of passages) of each row with garbled ones, and the pairs of each row that can't be decided before their counts are told."""
+    found: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+    asks: dict[int, set[int]] = defaultdict(set)
+    for r, start, end, usual in passages(model, scores, cps, off):
+        piece = "".join(map(chr, cps[start:end].tolist()))
+        before = chr(cps[start - 1]) if start > off[r] else ""
+        after = chr(cps[end]) if end < off[r + 1] else ""
+        model.asked.clear()
+        bad, now = restored(model, before, piece, after, usual)
+        if model.asked:
+            asks[r] |= model.asked
+        elif bad:
+            found[r].append((start, end, now))
+    out = {}
+    for r in (r for r in found if r not in asks):
+        text, at = [], int(off[r])
+        for start, end, now in found[r]:
+            text += ["".join(map(chr, cps[at:start].tolist())), now]
+            at = end
+        text.append("".join(map(chr, cps[at : off[r + 1]].tolist())))
+        out[r] = "".join(text), len(found[r])
+    return out, asks
+
+
 def garbled_documents(df: DataFrame, ident: str, text: str, model: PairModel | None = None) -> DataFrame:
     """(id, restored, passages) of the rows in which a passage shows wrongly decoded characters.
 
@@ -466,36 +558,69 @@ def garbled_documents(df: DataFrame, ident: str, text: str, model: PairModel | N
     passages counts the garbled ones.  Null and empty texts are never affected;
     repeated rows give repeated rows; an empty table gives none.
     """
-    model = model or pair_counts(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    given, model = model, model or pair_counts(df, text)
+    shared = df.sparkSession.sparkContext.broadcast(replace(model, every=None))
+    rows = df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+    if model.every is not None:
+        found = _found_in_rounds(rows, kind, shared, model.every)
+        if given is None:
+            discard(model.every)
+        return found
 
     def run(batches):
         own = shared.value
         scores = own.improbable
         for b in (part for whole in batches for part in tf.portions(whole, 1)):
-            cps, off = tf.decode(b.column(1))
-            found: dict[int, list[tuple[int, int, str]]] = {}
-            for r, start, end, usual in passages(own, scores, cps, off):
-                piece = "".join(map(chr, cps[start:end].tolist()))
-                before = chr(cps[start - 1]) if start > off[r] else ""
-                after = chr(cps[end]) if end < off[r + 1] else ""
-                bad, now = restored(own, before, piece, after, usual)
-                if bad:
-                    found.setdefault(r, []).append((start, end, now))
-            if not found:
-                continue
-            rows, texts, numbers = [], [], []
-            for r, pieces in found.items():
-                out, at = [], int(off[r])
-                for start, end, now in pieces:
-                    out += ["".join(map(chr, cps[at:start].tolist())), now]
-                    at = end
-                out.append("".join(map(chr, cps[at : off[r + 1]].tolist())))
-                rows.append(r)
-                texts.append("".join(out))
-                numbers.append(len(pieces))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(texts), pa.array(numbers, pa.int32())], ["id", "restored", "passages"])
+            found, _ = examined(own, scores, *tf.decode(b.column(1)))
+            if found:
+                texts, numbers = zip(*found.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(found))), pa.array(texts), pa.array(numbers, pa.int32())], ["id", "restored", "passages"])
 
-    rows = df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
-    kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, restored string, passages int")
+
+
+def _found_in_rounds(rows: DataFrame, kind: str, shared: Broadcast[PairModel], every: DataFrame) -> DataFrame:
+    """:func:`garbled_documents` where not all pairs were sent: texts that need others wait for the next round, which has their counts."""
+
+    def run(batches):
+        own = shared.value
+        scores = own.improbable
+        number = TaskContext.get().partitionId() << 33  # of the rows that wait, in the first round
+        for b in (part for whole in batches for part in tf.portions(whole, 2)):
+            own.tell(b.column(3), b.column(4))
+            waiting = unknown_pairs(own, *tf.decode(b.column(2)))
+            ready = np.setdiff1d(np.arange(b.num_rows), list(waiting))
+            found, asks = examined(own, scores, *tf.decode(b.column(2).take(pa.array(ready))))
+            waiting |= {int(ready[r]): keys for r, keys in asks.items()}
+            if found:
+                texts, numbers = zip(*found.values(), strict=True)
+                yield step(b.take(pa.array(ready[list(found)])), pa.array(texts), pa.array(numbers, pa.int32()), None)
+            if waiting:
+                part = b.take(pa.array(list(waiting)))
+                if part.column(0).null_count:
+                    part = part.set_column(0, "r", pa.array(np.arange(number, number + len(waiting))))
+                    number += len(waiting)
+                yield step(part, part.column(2), None, pa.array([sorted(keys) for keys in waiting.values()], pa.list_(pa.int64())))
+
+    def step(part, texts, numbers, asks):
+        empty = pa.nulls(part.num_rows, pa.list_(pa.int64()))
+        told = (empty, empty) if asks is None else (part.column(3), part.column(4))
+        columns = [part.column(0), part.column(1), texts, *told, pa.nulls(part.num_rows, pa.int32()) if numbers is None else numbers, empty if asks is None else asks]
+        return pa.RecordBatch.from_arrays(columns, ["r", "id", "t", "k", "n", "passages", "asks"])
+
+    none = F.array().cast("array<bigint>")
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows that wait are much work: these aren't to be one task
+    todo, found, last = rows.select(F.lit(None).cast("bigint").alias("r"), "id", "t", none.alias("k"), none.alias("n")), [], None
+    while True:
+        now = materialize(todo.mapInArrow(run, f"r bigint, id {kind}, t string, k array<bigint>, n array<bigint>, passages int, asks array<bigint>"), "round")
+        if last is not None:
+            discard(last)
+        found.append(materialize(now.where("asks IS NULL").select("id", F.col("t").alias("restored"), "passages"), "found"))
+        left, last = now.where("asks IS NOT NULL"), now
+        if left.isEmpty():
+            discard(now)
+            return reduce(DataFrame.unionByName, found)
+        answers = left.select("r", F.explode("asks").alias("k")).join(every.withColumnRenamed("n", "m"), "k", "left")
+        answers = answers.groupBy("r").agg(F.collect_list(F.struct("k", F.coalesce("m", F.lit(0).cast("bigint")).alias("m"))).alias("a"))
+        todo = left.repartition(parts, "r").join(answers, "r").select("r", "id", "t", F.concat("k", F.col("a.k")).alias("k"), F.concat("n", F.col("a.m")).alias("n"))
